@@ -1,8 +1,8 @@
-"""How many holders every two items share, counted as a sum of small matrix products.
+"""How many holders every two items share.
 
-Pairs are never written out per holder. A task turns its holders into rows of a 0/1 matrix and
-adds the product of that matrix with itself, so what leaves the task is one count per pair of
-items, and a holder of every item costs no more than one full matrix row.
+Items are hashed into tiles, and the pairs of two tiles are counted in a matrix that a task
+keeps in memory. What leaves a task is one count per pair of items, never a row per pair and
+holder, so neither a holder of every item nor an item of every holder makes a long group.
 """
 
 from __future__ import annotations
@@ -13,156 +13,185 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Executors receive this module's code with the task, so they need not have it installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Items per matrix side, holders per matrix product and rows gathered before one.
-TILE_ITEMS = 512
-HOLDERS_PER_PRODUCT = 4096
-ROWS_PER_BLOCK = 1 << 18
+TILE_ITEMS = 2048
+# Above this many tiles a holder is sent only to the tiles it has items in.
+TILES_FOR_ALL = 16
 
+# A holder with more items of two tiles than this is multiplied as a matrix row.
+MATRIX_ITEMS = 256
+HOLDERS_PER_PRODUCT = 1024
+PAIRS_PER_COUNT = 1 << 22
 
-class _TileCounts:
-    """Counts of one pair of tiles, kept while a task reads that pair's rows."""
+
+class _PairCounts:
+    """Shared holders of the items of two tiles.
+
+    Items of the left tile arrive as their place in it, those of a different right tile as
+    ``-1 - place``; each holder's items are sorted.
+    """
 
     def __init__(self, left: int, right: int) -> None:
         self.tiles = (left, right)
-        self.vocabularies: list[dict[str, int]] = [{}, {}]
         self.counts = np.zeros((0, 0), dtype=np.int64)
 
-    def _codes(self, items: pa.ChunkedArray, side: int) -> np.ndarray:
-        encoded = items.combine_chunks().dictionary_encode()
-        vocabulary = self.vocabularies[side]
-        table = np.array(
-            [vocabulary.setdefault(item, len(vocabulary)) for item in encoded.dictionary.to_pylist()],
-            dtype=np.int64,
-        )
-        return table[encoded.indices.to_numpy(zero_copy_only=False)]
-
-    def add(self, rows: pa.Table) -> None:
-        """Add whole holders, given in holder order."""
-        holders = rows["holder"].combine_chunks().dictionary_encode().indices.to_numpy()
-        tile = rows["tile"].to_numpy()
-        same = self.tiles[0] == self.tiles[1]
-        sides = [0] if same else [0, 1]
-        parts = []
-        for side in sides:
-            mask = tile == self.tiles[side]
-            parts.append((holders[mask], self._codes(rows["item"].filter(pa.array(mask)), side)))
-        shape = tuple(len(self.vocabularies[side]) for side in (sides[0], sides[-1]))
-        grown = np.zeros(shape, dtype=np.int64)
-        grown[: self.counts.shape[0], : self.counts.shape[1]] = self.counts
-        self.counts = grown
-        for first in range(0, int(holders[-1]) + 1, HOLDERS_PER_PRODUCT):
-            matrices = []
-            for side, (holder, code) in zip(sides, parts):
-                inside = slice(*np.searchsorted(holder, (first, first + HOLDERS_PER_PRODUCT)))
-                matrix = np.zeros((HOLDERS_PER_PRODUCT, shape[side]), dtype=np.float32)
-                matrix[holder[inside] - first, code[inside]] = 1.0
-                matrices.append(matrix)
-            # sums of at most HOLDERS_PER_PRODUCT ones are exact in float32
-            self.counts += (matrices[0].T @ matrices[-1]).astype(np.int64)
+    def _grow(self, items: np.ndarray) -> None:
+        rows = max(self.counts.shape[0], int(items.max()) + 1)
+        last = items.max() if self.tiles[0] == self.tiles[1] else -1 - items.min()
+        columns = max(self.counts.shape[1], int(last) + 1)
+        if (rows, columns) != self.counts.shape:
+            grown = np.zeros((rows, columns), dtype=np.int64)
+            grown[: self.counts.shape[0], : self.counts.shape[1]] = self.counts
+            self.counts = grown
+
+    def add(self, items: np.ndarray, lengths: np.ndarray) -> None:
+        if not items.size:
+            return
+        self._grow(items)
+        long = np.repeat(lengths > MATRIX_ITEMS, lengths)
+        self._add_products(items[long], lengths[lengths > MATRIX_ITEMS])
+        self._add_pairs(items[~long], lengths[lengths <= MATRIX_ITEMS])
+
+    def _add_pairs(self, items: np.ndarray, lengths: np.ndarray) -> None:
+        left_to_come = np.repeat(np.cumsum(lengths), lengths) - np.arange(items.size) - 1
+        waiting, size = [], 0
+        first = np.arange(items.size)
+        for distance in range(1, int(lengths.max(initial=0))):
+            first = first[left_to_come[first] >= distance]
+            a, b = items[first], items[first + distance]
+            if self.tiles[0] != self.tiles[1]:
+                # right items sort before left ones; equal sides are another tile pair's
+                across = (a < 0) & (b >= 0)
+                a, b = b[across], -1 - a[across]
+            waiting.append(a * self.counts.shape[1] + b)
+            size += a.size
+            if size >= PAIRS_PER_COUNT:
+                self._count(waiting)
+                waiting, size = [], 0
+        self._count(waiting)
+
+    def _count(self, pairs: list[np.ndarray]) -> None:
+        if pairs:
+            counted = np.bincount(np.concatenate(pairs), minlength=self.counts.size)
+            self.counts += counted.reshape(self.counts.shape)
+
+    def _add_products(self, items: np.ndarray, lengths: np.ndarray) -> None:
+        holder = np.repeat(np.arange(lengths.size), lengths)
+        for start in range(0, lengths.size, HOLDERS_PER_PRODUCT):
+            inside = slice(*np.searchsorted(holder, (start, start + HOLDERS_PER_PRODUCT)))
+            row, item = holder[inside] - start, items[inside]
+            here = item >= 0
+            left = np.zeros((HOLDERS_PER_PRODUCT, self.counts.shape[0]), dtype=np.float32)
+            left[row[here], item[here]] = 1.0
+            right = left
+            if self.tiles[0] != self.tiles[1]:
+                right = np.zeros((HOLDERS_PER_PRODUCT, self.counts.shape[1]), dtype=np.float32)
+                right[row[~here], -1 - item[~here]] = 1.0
+            # a sum of at most HOLDERS_PER_PRODUCT ones is exact in float32
+            product = left.T @ right
+            if right is left:
+                product = np.triu(product, 1)
+            self.counts += product.astype(np.int64)
 
     def result(self) -> pa.RecordBatch:
-        left = np.array(list(self.vocabularies[0]), dtype=object)
-        right = left if self.tiles[0] == self.tiles[1] else np.array(
-            list(self.vocabularies[1]), dtype=object
-        )
-        counts = np.triu(self.counts, 1) if right is left else self.counts
-        i, j = np.nonzero(counts)
+        a, b = np.nonzero(self.counts)
+        tiles = [np.full(a.size, tile, dtype=np.int32) for tile in self.tiles]
+        columns = [*tiles, a.astype(np.int32), b.astype(np.int32), self.counts[a, b]]
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array(left[i], pa.string()),
-                pa.array(right[j], pa.string()),
-                pa.array(counts[i, j], pa.int64()),
-            ],
-            names=["item_a", "item_b", "shared"],
+            [pa.array(column) for column in columns],
+            names=["left", "right", "place_a", "place_b", "shared"],
         )
 
 
-def _leading_run(rows: pa.Table) -> int:
-    """How many rows at the start belong to the first row's pair of tiles."""
-    left, right = rows["left"].to_numpy(), rows["right"].to_numpy()
-    return int(np.argmin(np.append((left == left[0]) & (right == right[0]), False)))
-
-
-def _count_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: _TileCounts | None = None
-    waiting: list[pa.RecordBatch | pa.Table] = []
-
-    def gathered() -> pa.Table:
-        return pa.concat_tables(
-            [b if isinstance(b, pa.Table) else pa.Table.from_batches([b]) for b in waiting]
-        )
-
-    def drain(rows: pa.Table, last: bool):
-        """Add every finished holder; yield finished tile pairs and return the rest."""
-        nonlocal counts
-        while rows.num_rows:
-            run = _leading_run(rows)
-            tiles = (rows["left"][0].as_py(), rows["right"][0].as_py())
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts per pair of tiles, from one row of items per holder, sorted by tiles."""
+    counts: _PairCounts | None = None
+    for batch in batches:
+        left, right = batch["left"].to_numpy(), batch["right"].to_numpy()
+        changes = np.flatnonzero((np.diff(left) != 0) | (np.diff(right) != 0)) + 1
+        bounds = [0, *changes.tolist(), batch.num_rows]
+        for start, end in zip(bounds, bounds[1:]):
+            if start == end:
+                continue
+            tiles = (int(left[start]), int(right[start]))
             if counts is None or counts.tiles != tiles:
                 if counts is not None:
                     yield counts.result()
-                counts = _TileCounts(*tiles)
-            block, rest = rows.slice(0, run), rows.slice(run)
-            if rest.num_rows or last:
-                counts.add(block)
-                rows = rest
-                continue
-            holders = block["holder"].combine_chunks().dictionary_encode().indices.to_numpy()
-            finished = int(np.searchsorted(holders, holders[-1]))
-            if finished:
-                counts.add(block.slice(0, finished))
-            waiting.append(block.slice(finished))
-            return
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        waiting.append(batch)
-        if sum(b.num_rows for b in waiting) >= ROWS_PER_BLOCK:
-            rows = gathered()
-            waiting.clear()
-            yield from drain(rows, last=False)
-    if waiting:
-        rows = gathered()
-        waiting.clear()
-        yield from drain(rows, last=True)
+                counts = _PairCounts(*tiles)
+            lists = batch["items"].slice(start, end - start)
+            counts.add(
+                lists.flatten().to_numpy().astype(np.int64), lists.value_lengths().to_numpy()
+            )
     if counts is not None:
         yield counts.result()
 
 
-def shared_holders(holdings: DataFrame, items: int, tile_items: int = TILE_ITEMS) -> DataFrame:
-    """``item_a < item_b`` and the number of holders of both, for pairs that share any.
+def shared_holders(
+    holdings: DataFrame,
+    items: DataFrame,
+    count: int,
+    least: int = 1,
+    tile_items: int = TILE_ITEMS,
+) -> DataFrame:
+    """``item_a < item_b`` and the number of holders of both, for pairs that share ``least``.
 
-    ``holdings`` has distinct, non-null (holder, item) rows over ``items`` items. Items are
-    hashed into tiles so that a task's counts fit in memory; a row is copied once per tile.
+    ``holdings`` has distinct (holder, item) rows; only the ``count`` items listed in ``items``
+    take part.
     """
     spark = holdings.sparkSession
-    tiles = max(1, -(-items // tile_items))
+    tiles = max(1, -(-count // tile_items))
     tile_pairs = tiles * (tiles + 1) // 2
-    spread = max(1, -(-4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // tile_pairs))
-    placed = holdings.withColumn(
-        "tile", F.pmod(F.xxhash64("item"), F.lit(tiles)).cast("int")
-    ).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    rows = (
-        placed.select(
-            F.least("tile", "other").alias("left"),
-            F.greatest("tile", "other").alias("right"),
-            F.pmod(F.xxhash64(F.lit(1), F.col("holder")), F.lit(spread)).cast("int").alias("part"),
+    # several tasks share a pair of tiles when there are fewer pairs than tasks
+    parts = max(1, -(-4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // tile_pairs))
+    tile = F.pmod(F.xxhash64("item"), F.lit(tiles)).cast("int")
+    # a tile is a bounded share of the items, so numbering within tiles is spread over tasks
+    placed_items = items.select("item", tile.alias("tile")).withColumn(
+        "place", F.row_number().over(Window.partitionBy("tile").orderBy("item")) - 1
+    )
+    placed = holdings.join(placed_items, "item").select("holder", "tile", "place")
+    if tiles <= TILES_FOR_ALL:
+        others: Column = F.sequence(F.lit(0), F.lit(tiles - 1))
+    else:
+        present = placed.groupBy("holder").agg(F.collect_set("tile").alias("present"))
+        placed, others = placed.join(present, "holder"), F.col("present")
+    mine, other = F.col("tile"), F.col("other")
+    baskets = (
+        placed.withColumn("other", F.explode(others))
+        .select(
+            F.least(mine, other).alias("left"),
+            F.greatest(mine, other).alias("right"),
+            F.pmod(F.xxhash64("holder"), F.lit(parts)).cast("int").alias("part"),
             "holder",
-            "tile",
-            "item",
+            F.when(mine > other, -1 - F.col("place")).otherwise(F.col("place")).alias("item"),
         )
         .repartition("left", "right", "part")
-        .sortWithinPartitions("left", "right", "holder")
-        .drop("part")
+        .groupBy("left", "right", "part", "holder")
+        .agg(F.sort_array(F.collect_list("item")).alias("items"))
+        .where(F.size("items") > 1)
+        .select("left", "right", "items")
+        .sortWithinPartitions("left", "right")
+    )
+    counted = (
+        baskets.mapInArrow(
+            _count_pairs, "left int, right int, place_a int, place_b int, shared bigint"
+        )
+        .groupBy("left", "right", "place_a", "place_b")
+        .agg(F.sum("shared").alias("shared"))
+        .where(F.col("shared") >= least)
+    )
+    first = placed_items.toDF("first", "left", "place_a")
+    second = placed_items.toDF("second", "right", "place_b")
+    return (
+        counted.join(first, ["left", "place_a"])
+        .join(second, ["right", "place_b"])
+        .select(
+            F.least("first", "second").alias("item_a"),
+            F.greatest("first", "second").alias("item_b"),
+            "shared",
+        )
     )
-    counted = rows.mapInArrow(_count_tiles, "item_a string, item_b string, shared bigint")
-    return counted.groupBy(
-        F.least("item_a", "item_b").alias("item_a"), F.greatest("item_a", "item_b").alias("item_b")
-    ).agg(F.sum("shared").alias("shared"))

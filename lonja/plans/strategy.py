@@ -90,20 +90,17 @@ def cross_sell(
         "products",
     )
 
-    def pairs_among(chosen: DataFrame, count: int) -> DataFrame:
-        kept = holdings.join(chosen.select("item"), "item", "left_semi")
-        return shared_holders(kept, count).where(F.col("shared") >= min_shared)
-
-    chosen, count = products, products.count()
+    chosen, count, least = products, products.count(), min_shared
     if n is not None and count > LEADING_PRODUCTS:
         leading = products.orderBy(F.desc("buyers"), "item").limit(LEADING_PRODUCTS)
-        best = pairs_among(leading, LEADING_PRODUCTS).orderBy(F.desc("shared")).limit(n)
-        floor, found = best.agg(F.min("shared"), m.rows()).first()
-        if found == n:
-            chosen = products.where(F.col("buyers") >= floor)
+        found = shared_holders(holdings, leading, LEADING_PRODUCTS, min_shared)
+        best = found.orderBy(F.desc("shared")).limit(n).agg(F.min("shared"), m.rows()).first()
+        if best[1] == n:
+            least = best[0]
+            chosen = products.where(F.col("buyers") >= least)
             count = chosen.count()
     buyers = bought.agg(F.count_distinct("holder")).scalar()
-    pairs = pairs_among(chosen, count).select(
+    pairs = shared_holders(holdings, chosen, count, least).select(
         F.col("item_a").alias("product_a"),
         F.col("item_b").alias("product_b"),
         F.col("shared").alias("shared_buyers"),

@@ -13,16 +13,11 @@ from lonja.schema import SOURCE_COLUMNS
 DELIMITERS = (",", ";", "\t", "|")
 FALLBACK_ENCODING = "ISO-8859-1"
 
-# Day first; the time and its seconds may be left out.
-DATE_PATTERNS = (
-    "d/M/yyyy[ H:mm[:ss]]",
-    "d-M-yyyy[ H:mm[:ss]]",
-    "d.M.yyyy[ H:mm[:ss]]",
-    "yyyy-M-d[ H:mm[:ss]]",
-    "yyyy-M-d'T'H:mm[:ss]",
-    "yyyy/M/d[ H:mm[:ss]]",
-    "d/M/yy[ H:mm[:ss]]",
-    "d-M-yy[ H:mm[:ss]]",
+# Rewritten to year-month-day: day first, and two-digit years in this century.
+DATE_SHAPES = (
+    (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(?!\d)", "$3-$2-$1"),
+    (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{2})(?!\d)", "20$3-$2-$1"),
+    (r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})(?!\d)", "$1-$2-$3"),
 )
 
 _QUOTED = '"[^"]*"'
@@ -67,9 +62,10 @@ def rename_source_columns(df: DataFrame) -> DataFrame:
 
 
 def _as_timestamp(text: Column) -> Column:
-    return F.coalesce(
-        *[F.try_to_timestamp(F.trim(text), F.lit(pattern)) for pattern in DATE_PATTERNS]
-    )
+    text = F.trim(text)
+    for shape, year_first in DATE_SHAPES:
+        text = F.regexp_replace(text, shape, year_first)
+    return text.try_cast("timestamp_ntz")
 
 
 def coerce_dates(df: DataFrame, schema: T.StructType) -> DataFrame:
