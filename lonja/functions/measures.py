@@ -2,8 +2,8 @@
 
 Doubles are summed as whole units of 10^-scale. Each row's units are split into a high and a
 low part, and the two parts are added as 64-bit integers: the cost of two long sums, the same
-result from any partitioning, and room for 10^12 rows in one group. A row's own value must
-stay under 9.2 * 10^(18 - scale); a larger one raises an error instead of wrapping.
+result from any partitioning, and room for 10^12 rows in one group. Single values too large
+for that, and values that are no numbers, are added apart as doubles.
 """
 
 from __future__ import annotations
@@ -17,39 +17,39 @@ AMOUNT_SCALE = 4
 RATE_SCALE = 10
 
 _LOW_BITS = 22
+_LARGEST_UNITS = float(1 << 62)
 
 
-def _units(x: Column, scale: int) -> Column:
+def _parts(x: Column, scale: int) -> tuple[Column, Column, Column]:
+    """High and low part of a row's units, or the row's value where it has no units."""
     scaled = x * F.lit(float(10**scale))
-    return F.when(scaled < 0, scaled - 0.5).otherwise(scaled + 0.5).cast("bigint")
+    fits = F.abs(scaled) < _LARGEST_UNITS
+    rounded = F.when(scaled < 0, scaled - 0.5).otherwise(scaled + 0.5)
+    units = F.when(fits, rounded).cast("bigint")
+    low = units.bitwiseAND(F.lit((1 << _LOW_BITS) - 1))
+    return F.shiftright(units, _LOW_BITS), low, F.when(~fits, x)
 
 
-def _from_units(high: Column, low: Column, scale: int) -> Column:
+def _from_sums(high: Column, low: Column, large: Column, scale: int) -> Column:
     total = high.cast("decimal(38,0)") * F.lit(Decimal(1 << _LOW_BITS)) + low
     # 37 - scale whole digits leave the product exactly `scale` decimals in 38 digits
     exact = total.cast(f"decimal({37 - scale},0)") * F.lit(Decimal(1).scaleb(-scale))
-    return exact.cast("double")
-
-
-def _parts(x: Column, scale: int) -> tuple[Column, Column]:
-    units = _units(x, scale)
-    return F.shiftright(units, _LOW_BITS), units.bitwiseAND(F.lit((1 << _LOW_BITS) - 1))
+    exact = exact.cast("double")
+    return F.when(large.isNull(), exact).otherwise(F.coalesce(exact, F.lit(0.0)) + large)
 
 
 def exact_sum(x: Column, scale: int = AMOUNT_SCALE) -> Column:
     """Sum of one value per row; NULL when there is none."""
-    high, low = _parts(x, scale)
-    return _from_units(F.sum(high), F.sum(low), scale)
+    return _from_sums(*[F.sum(part) for part in _parts(x, scale)], scale)
 
 
 def subtotal(x: Column, name: str, scale: int = AMOUNT_SCALE) -> list[Column]:
     """The columns of a sum that ``sum_of_subtotals`` finishes over coarser groups."""
-    high, low = _parts(x, scale)
-    return [F.sum(high).alias(f"{name}_high"), F.sum(low).alias(f"{name}_low")]
+    return [F.sum(part).alias(f"{name}_{i}") for i, part in enumerate(_parts(x, scale))]
 
 
 def sum_of_subtotals(name: str, scale: int = AMOUNT_SCALE) -> Column:
-    return _from_units(F.sum(f"{name}_high"), F.sum(f"{name}_low"), scale)
+    return _from_sums(*[F.sum(f"{name}_{i}") for i in range(3)], scale)
 
 
 def total_of(x: Column) -> Column:

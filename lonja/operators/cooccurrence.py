@@ -140,32 +140,47 @@ def shared_holders(
 ) -> DataFrame:
     """``item_a < item_b`` and the number of holders of both, for pairs that share ``least``.
 
-    ``holdings`` has distinct (holder, item) rows; only the ``count`` items listed in ``items``
-    take part.
+    ``holdings`` has distinct (holder, item) rows. ``items`` lists the ``count`` items that take
+    part, each with the number of its ``holders``.
     """
-    spark = holdings.sparkSession
+    tasks = 4 * int(holdings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiles = max(1, -(-count // tile_items))
-    tile_pairs = tiles * (tiles + 1) // 2
-    # several tasks share a pair of tiles when there are fewer pairs than tasks
-    parts = max(1, -(-4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // tile_pairs))
     tile = F.pmod(F.xxhash64("item"), F.lit(tiles)).cast("int")
     # a tile is a bounded share of the items, so numbering within tiles is spread over tasks
-    placed_items = items.select("item", tile.alias("tile")).withColumn(
-        "place", F.row_number().over(Window.partitionBy("tile").orderBy("item")) - 1
+    sized = items.select("item", "holders", tile.alias("tile"))
+    placed_items = sized.select(
+        "item",
+        "tile",
+        (F.row_number().over(Window.partitionBy("tile").orderBy("item")) - 1).alias("place"),
     )
     placed = holdings.join(placed_items, "item").select("holder", "tile", "place")
+    # rows per tile, one entry each: a pair of tiles is split by holder over as many tasks as
+    # its share of all rows, so that a tile with a hot item fills no single task
+    weights = (
+        sized.groupBy("tile")
+        .agg(F.sum("holders").cast("double").alias("rows"))
+        .agg(
+            F.struct(
+                F.map_from_entries(F.collect_list(F.struct("tile", "rows"))).alias("rows"),
+                F.sum("rows").alias("total"),
+            )
+        )
+        .scalar()
+    )
     if tiles <= TILES_FOR_ALL:
         others: Column = F.sequence(F.lit(0), F.lit(tiles - 1))
     else:
         present = placed.groupBy("holder").agg(F.collect_set("tile").alias("present"))
         placed, others = placed.join(present, "holder"), F.col("present")
     mine, other = F.col("tile"), F.col("other")
+    share = (weights["rows"][mine] + weights["rows"][other]) / (weights["total"] * tiles)
+    parts = F.greatest(F.ceil(share * tasks), F.lit(1)).cast("int")
     baskets = (
         placed.withColumn("other", F.explode(others))
         .select(
             F.least(mine, other).alias("left"),
             F.greatest(mine, other).alias("right"),
-            F.pmod(F.xxhash64("holder"), F.lit(parts)).cast("int").alias("part"),
+            F.pmod(F.xxhash64("holder"), parts).cast("int").alias("part"),
             "holder",
             F.when(mine > other, -1 - F.col("place")).otherwise(F.col("place")).alias("item"),
         )

@@ -86,18 +86,18 @@ def cross_sell(
     )
     holdings = bought.where(F.col("item").isNotNull())
     products = stage(
-        holdings.groupBy("item").agg(m.rows().alias("buyers")).where(F.col("buyers") >= min_shared),
+        holdings.groupBy("item").agg(m.rows().alias("holders")).where(F.col("holders") >= min_shared),
         "products",
     )
 
     chosen, count, least = products, products.count(), min_shared
     if n is not None and count > LEADING_PRODUCTS:
-        leading = products.orderBy(F.desc("buyers"), "item").limit(LEADING_PRODUCTS)
+        leading = products.orderBy(F.desc("holders"), "item").limit(LEADING_PRODUCTS)
         found = shared_holders(holdings, leading, LEADING_PRODUCTS, min_shared)
         best = found.orderBy(F.desc("shared")).limit(n).agg(F.min("shared"), m.rows()).first()
         if best[1] == n:
             least = best[0]
-            chosen = products.where(F.col("buyers") >= least)
+            chosen = products.where(F.col("holders") >= least)
             count = chosen.count()
     buyers = bought.agg(F.count_distinct("holder")).scalar()
     pairs = shared_holders(holdings, chosen, count, least).select(

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lonja.runtime import hadoop_path
 
@@ -35,6 +36,9 @@ def publish(df: DataFrame, table_dir: str, partition_by: Sequence[str] = ()) ->
     was, so ``df`` may be computed from the table itself. One writer at a time.
     """
     version = f"version-{uuid.uuid4().hex}"
+    if partition_by:
+        # few files per partition, and several tasks for a large one
+        df = df.hint("rebalance", *[F.col(name) for name in partition_by])
     df.write.partitionBy(*partition_by).parquet(f"{table_dir}/{version}")
     _write_pointer(df.sparkSession, table_dir, version)
     return version
