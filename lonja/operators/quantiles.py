@@ -4,41 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def percentiles(
     values: DataFrame, column: str, fractions: Sequence[float], accuracy: int = 10_000
-) -> DataFrame:
-    """One row with ``p0, p1, …``: the continuous percentile of ``column`` at each fraction.
+) -> list[float | None]:
+    """The continuous percentile of ``column`` at each fraction; NULLs are left out.
 
-    A first pass brackets each percentile between two values of an approximate sketch whose
+    A first job brackets each percentile between two values of an approximate sketch whose
     error is bounded. The second counts the values below each bracket and ranks only the
-    distinct values inside it, about 6 in ``accuracy``. NULLs are left out.
+    distinct values inside it, about 6 in ``accuracy``. The caller stages ``values`` when they
+    are costly to compute.
     """
     present = values.select(F.col(column).alias("value")).where(F.col("value").isNotNull())
     margin = 2.0 / accuracy
-    bounds = [
-        F.lit(min(max(fraction + side, 0.0), 1.0))
-        for fraction in fractions
-        for side in (-margin, margin)
+    wanted = [
+        min(max(fraction + side, 0.0), 1.0) for fraction in fractions for side in (-margin, margin)
     ]
-    sketch = present.agg(
-        F.struct(
-            F.percentile_approx("value", F.array(*bounds), F.lit(accuracy)).alias("bounds"),
-            F.count("value").alias("n"),
-        )
-    ).scalar()
-
-    bracket = F.col("bracket")
-    low = F.get(sketch["bounds"], bracket * 2)
-    high = F.get(sketch["bounds"], bracket * 2 + 1)
+    bounds, n = present.agg(
+        F.percentile_approx("value", wanted, accuracy), F.count("value")
+    ).first()
+    if n == 0:
+        return [None] * len(fractions)
+    brackets = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("bracket"),
+                F.lit(float(bounds[2 * i])).alias("low"),
+                F.lit(float(bounds[2 * i + 1])).alias("high"),
+                F.lit((n - 1) * float(fraction)).alias("at"),
+            )
+            for i, fraction in enumerate(fractions)
+        ]
+    )
     value = F.col("value")
+    side = F.when(value < F.col("low"), -1).when(value > F.col("high"), 1).otherwise(0)
     grouped = (
-        present.withColumn("bracket", F.explode(F.lit(list(range(len(fractions))))))
-        .withColumn("side", F.when(value < low, -1).when(value > high, 1).otherwise(0))
-        .groupBy("bracket", "side", F.when(F.col("side") == 0, value).alias("inside"))
+        present.select("value", F.inline(brackets))
+        .withColumn("side", side)
+        .groupBy("bracket", "at", "side", F.when(F.col("side") == 0, value).alias("inside"))
         .agg(
             F.count("value").alias("n"),
             F.min("value").alias("least"),
@@ -46,14 +52,9 @@ def percentiles(
         )
     )
     running = F.sum("n").over(Window.partitionBy("bracket").orderBy("side", "inside"))
-    position = F.get(F.lit([float(fraction) for fraction in fractions]), bracket) * (
-        sketch["n"] - 1
-    )
-    ranked = grouped.select(
-        "bracket", "side", "least", "greatest", "n", running.alias("end"), position.alias("at")
-    ).withColumn("start", F.col("end") - F.col("n"))
+    ranked = grouped.withColumn("end", running).withColumn("start", F.col("end") - F.col("n"))
 
-    def value_at(rank):
+    def value_at(rank: Column) -> Column:
         # the group below a bracket knows only its last value, the one above only its first
         side, start, end = F.col("side"), F.col("start"), F.col("end")
         known = (
@@ -68,9 +69,4 @@ def percentiles(
     upper = value_at(F.ceil("at"))
     weight = F.max(F.col("at") - F.floor("at"))
     exact = ranked.groupBy("bracket").agg((lower + (upper - lower) * weight).alias("exact"))
-    return exact.agg(
-        *[
-            F.max(F.when(bracket == i, F.col("exact"))).alias(f"p{i}")
-            for i in range(len(fractions))
-        ]
-    )
+    return [row.exact for row in exact.orderBy("bracket").collect()]

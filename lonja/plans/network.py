@@ -91,15 +91,16 @@ def principal_share(
     )
 
 
-def current_clients(ops: DataFrame, f: OpsFilter | None = None) -> DataFrame:
-    return (
-        apply_filter(ops, f)
-        .where(F.col("client_id").isNotNull() & F.col("client_name").isNotNull())
-        .select("client_id", "client_name")
-        .distinct()
+def _named_clients(ops: DataFrame, f: OpsFilter | None) -> DataFrame:
+    return apply_filter(ops, f).where(
+        F.col("client_id").isNotNull() & F.col("client_name").isNotNull()
     )
 
 
+def current_clients(ops: DataFrame, f: OpsFilter | None = None) -> DataFrame:
+    return _named_clients(ops, f).select("client_id", "client_name").distinct()
+
+
 def _prospects(
     ops: DataFrame, f: OpsFilter | None, side: str, partner: str, payer: str, n: int
 ) -> DataFrame:
@@ -151,7 +152,7 @@ def _prospects(
         )
         .limit(n)
     )
-    known = current_clients(ops, f).select("client_id")
+    known = _named_clients(ops, f).select("client_id").distinct()
     return listed.join(known, F.col("prospect_id") == F.col("client_id"), "left_anti")
 
 

@@ -21,7 +21,7 @@ def overview(ops: DataFrame, f: OpsFilter | None = None) -> DataFrame:
     # counted apart, each distinct column is one narrow scan that shuffles only its own values;
     # beside the sums they would copy every row three times
     def distinct(column: str) -> Column:
-        return facts.agg(F.count_distinct(column)).scalar()
+        return facts.select(column).distinct().agg(F.count(column)).scalar()
 
     return facts.agg(
         m.sum_value().alias("total_volume"),

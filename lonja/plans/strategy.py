@@ -17,6 +17,9 @@ from lonja.runtime import stage
 # Products whose pairs are counted first, to learn how many buyers a listed pair must share.
 LEADING_PRODUCTS = 64
 
+# Where commission per client is cut into segments.
+SEGMENT_CUTS = (0.8, 0.5, 0.2)
+
 
 def churn_risk(
     ops: DataFrame,
@@ -128,13 +131,13 @@ def client_segments(
         ),
         "clients",
     )
-    cuts = percentiles(clients, "total", (0.8, 0.5, 0.2)).select(F.struct("*")).scalar()
+    cuts = [F.lit(cut).cast("double") for cut in percentiles(clients, "total", SEGMENT_CUTS)]
     total = F.col("total")
     vip, high, medium, low = labels.segments
     segment = (
-        F.when(total >= cuts["p0"], vip)
-        .when(total >= cuts["p1"], high)
-        .when(total >= cuts["p2"], medium)
+        F.when(total >= cuts[0], vip)
+        .when(total >= cuts[1], high)
+        .when(total >= cuts[2], medium)
         .otherwise(low)
     )
     return (
