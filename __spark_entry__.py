@@ -23,6 +23,15 @@ from lonja.runtime import staging_root  # noqa: E402
 from lonja.schema import OPERATIONS_SCHEMA, SOURCE_COLUMNS  # noqa: E402
 from lonja.sources import csv_files, driver_tables, store, upsert  # noqa: E402
 
+try:  # the operators for training text come as a package of their own, which may be left out
+    import corpus_pipeline
+    import lonja.llm.oracle as llm_oracle
+    import lonja.llm.queries as llm_queries
+except ModuleNotFoundError as error:
+    if not (error.name or "").startswith(("corpus_pipeline", "lonja.llm")):
+        raise
+    llm_queries = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 AS_OF = dt.date(2001, 8, 2)
 FILTER = OpsFilter(
@@ -327,8 +336,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         found[name] = query.unfiltered_run
         if query.filtered:
             found[f"{name}_filtered"] = query.filtered_run
+    if llm_queries is not None:
+        found.update(llm_queries.QUERIES, pipeline=corpus_pipeline.run)
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.build(queries())
+    """SQL for every query that SQL can express; the others are tested against plain code."""
+    own = set(llm_queries.QUERIES) | {"pipeline"} if llm_queries is not None else set()
+    found = oracle_queries.build({name: q for name, q in queries().items() if name not in own})
+    if llm_queries is not None:
+        found.update(llm_oracle.SQL)
+        if corpus_pipeline.ORACLE_SQL is not None:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
