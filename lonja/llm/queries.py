@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lonja.llm import decontamination, line_dedup
+from lonja.llm import bpe, decontamination, language, line_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +24,48 @@ def _joined(values: str) -> Column:
     return F.array_join(F.col(values).cast("array<string>"), ",")
 
 
+def _crc(modulus: int) -> Column:
+    """The remainder of the id's checksum; a row without an id is in no fold."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus, F.lit(-1))
+
+
+def language_model(spark: SparkSession, folder: str) -> language.LanguageModel | None:
+    rows = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return language.train(language.training_sample(rows.where(_crc(3) != 1)))
+
+
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    found = language.identify(docs, language_model(spark, folder))
+    return docs.select("doc_id", (_crc(3) == 1).alias("held_out"), found.alias("found")).select(
+        "doc_id",
+        "held_out",
+        F.col("found.lang").alias("lang_pred"),
+        F.col("found.score").alias("score"),
+        F.col("found.accepted").alias("accepted"),
+    )
+
+
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary, where the environment installs it on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = tokenizer_path()
+    encoded = bpe.encode(_documents(spark, folder), path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        _sha256(_joined("ids")).alias("ids_sha256"),
+        "ids",
+    )
+    return bpe.decode(encoded, path).select(
+        "doc_id", "n_tokens", "ids_sha256", _sha256(F.col("decoded")).alias("decoded_sha256")
+    )
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.contamination(
         _documents(spark, folder), _table(spark, folder, "benchmark")
@@ -45,6 +87,8 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op3_bpe": op3_bpe,
     "op4_decontamination": op4_decontamination,
     "op5_line_dedup": op5_line_dedup,
 }
