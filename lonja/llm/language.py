@@ -20,7 +20,6 @@ alone, so equal texts agree, whatever their other columns.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lonja.llm.text import ASCII_LOWER, utf8
+from lonja.llm.text import ASCII_LOWER, slices, utf8
 
 ROWS_PER_LANGUAGE = 500
 MAX_LANGUAGES = 500
@@ -127,10 +126,11 @@ def train(sample: list[tuple[str, str]], seed: int = 7) -> LanguageModel | None:
     if not sample:
         return None
     languages = tuple(sorted({lang for _, lang in sample}))
-    data, offsets = utf8(pa.array([text for text, _ in sample], pa.large_string()))
     target = np.array([languages.index(lang) for _, lang in sample])
-    buckets, bounds = subwords(data, offsets)
-    rows = [np.unique(buckets[a:b], return_counts=True) for a, b in zip(bounds, bounds[1:])]
+    rows = []
+    for part in slices(pa.array([text for text, _ in sample], pa.large_string()), SLICE_BYTES):
+        buckets, bounds = subwords(*utf8(part))
+        rows += [np.unique(buckets[a:b], return_counts=True) for a, b in zip(bounds, bounds[1:])]
     random = np.random.default_rng(seed)
     order = random.permutation(len(rows))
     held, used = order[: len(order) // 5], order[len(order) // 5 :]
@@ -169,17 +169,8 @@ def train(sample: list[tuple[str, str]], seed: int = 7) -> LanguageModel | None:
 
 
 def _held_probabilities(model: LanguageModel, sample: list[tuple[str, str]], held: np.ndarray) -> np.ndarray:
-    return model.probabilities(*utf8(pa.array([sample[n][0] for n in held], pa.large_string())))
-
-
-def _sliced(texts: pa.Array) -> Iterator[pa.Array]:
-    first = 0
-    ends = utf8(texts)[1][1:]
-    while first < len(texts):
-        before = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
-        yield texts.slice(first, last - first)
-        first = last
+    texts = pa.array([sample[n][0] for n in held], pa.large_string())
+    return np.concatenate([model.probabilities(*utf8(part)) for part in slices(texts, SLICE_BYTES)])
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> Column:
@@ -190,7 +181,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text") -
     def run(texts: pa.Array) -> pa.Array:
         model = held.value
         lang, score, accepted = [], [], []
-        for part in _sliced(texts):
+        for part in slices(texts, SLICE_BYTES):
             data, offsets = utf8(part)
             letters = has_letter(data, offsets)
             if model is None:

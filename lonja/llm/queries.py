@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lonja.llm import bpe, decontamination, language, line_dedup
+from lonja.llm import bpe, decontamination, language, line_dedup, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -86,9 +86,23 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", _sha256(F.col("text")).alias("kept_sha256"))
 
 
+def toxicity_model(spark: SparkSession, folder: str) -> toxicity.ToxicityModel | None:
+    labels = _table(spark, folder, "labels").where(_crc(5) != 0)
+    return toxicity.train(*toxicity.training_sample(_documents(spark, folder), labels))
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    score = toxicity.score(docs, toxicity_model(spark, folder))
+    return docs.select("doc_id", (_crc(5) == 0).alias("held_out"), score.alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int")
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_bpe": op3_bpe,
     "op4_decontamination": op4_decontamination,
     "op5_line_dedup": op5_line_dedup,
+    "op7_toxicity": op7_toxicity,
 }

@@ -46,6 +46,22 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _cuts(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with at most ``limit`` bytes of text each, or of a single row."""
+    ends = utf8(texts)[1][1:]
+    first = 0
+    while first < len(texts):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield first, last - first
+        first = last
+
+
+def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    for first, rows in _cuts(texts, limit):
+        yield texts.slice(first, rows)
+
+
 def bounded(
     batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
@@ -54,15 +70,8 @@ def bounded(
     What a task holds beside its batch then depends on the limit, not on how long texts are.
     """
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        ends = utf8(batch.column(column))[1][1:]
-        first = 0
-        while first < batch.num_rows:
-            before = ends[first - 1] if first else 0
-            last = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
-            yield batch.slice(first, last - first)
-            first = last
+        for first, rows in _cuts(batch.column(column), limit):
+            yield batch.slice(first, rows)
 
 
 def word_bounds(
