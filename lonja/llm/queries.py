@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lonja.llm import bpe, decontamination, language, line_dedup, toxicity
+from lonja.llm import bpe, decontamination, language, line_dedup, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -99,10 +99,21 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_documents(spark, folder)).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_bpe": op3_bpe,
     "op4_decontamination": op4_decontamination,
     "op5_line_dedup": op5_line_dedup,
     "op7_toxicity": op7_toxicity,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
 }
