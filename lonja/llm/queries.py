@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lonja.llm import bpe, decontamination, language, line_dedup, suffix_dedup, toxicity
+from lonja.llm import bpe, decontamination, jaccard_join, language, line_dedup, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -86,6 +86,10 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", _sha256(F.col("text")).alias("kept_sha256"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_documents(spark, folder))
+
+
 def toxicity_model(spark: SparkSession, folder: str) -> toxicity.ToxicityModel | None:
     labels = _table(spark, folder, "labels").where(_crc(5) != 0)
     return toxicity.train(*toxicity.training_sample(_documents(spark, folder), labels))
@@ -114,6 +118,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_decontamination": op4_decontamination,
     "op5_line_dedup": op5_line_dedup,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
 }

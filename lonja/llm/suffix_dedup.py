@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lonja.llm.shared_hashes import ANSWERED, ASKED, HASH_BYTES, answer, answers_for, ask, binary, bucket_bounds
 from lonja.llm.suffix_array import common_prefixes, suffix_array
 from lonja.llm.text import _BYTE_VALUES, _STEP, mixed, ragged, utf8, word_hashes
 
@@ -44,10 +45,7 @@ BUCKET_BYTES = 16 << 20
 PART_BYTES = 2 << 20
 
 _CHUNK = 1 << 20
-_HASH_BYTES = 6
 
-_ASKED = "block bigint, bucket bigint, hashes binary"
-_ANSWERED = "block bigint, bucket bigint, shared binary"
 _SENT = (
     "block bigint, bucket bigint, texts binary, lengths binary, parts binary,"
     " segment binary, row binary, doc_id binary, start binary"
@@ -123,59 +121,14 @@ class _Block:
         return found, names, which, low < high
 
 
-def _bucket_bounds(names: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins among sorted names; buckets are equal ranges of the hash."""
-    width = (1 << 64) // buckets + 1
-    return np.searchsorted(names, np.array([min(n * width, (1 << 64) - 1) for n in range(buckets)], np.uint64))
-
-
-def _binary(values: list) -> pa.Array:
-    return pa.array([v if isinstance(v, bytes) else v.tobytes() for v in values], pa.binary())
-
-
 def _ask(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         block = _Block(table)
-        _, names, _, _ = block.names()
-        edges = np.append(_bucket_bounds(names, buckets), len(names))
-        short = (names >> np.uint64(64 - 8 * _HASH_BYTES)).view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES]
-        full = np.flatnonzero(np.diff(edges))
-        return pa.table(
-            {
-                "block": pa.array([block.number] * len(full), pa.int64()),
-                "bucket": pa.array(full, pa.int64()),
-                "hashes": _binary([short[edges[b] : edges[b + 1]] for b in full]),
-            }
-        )
+        return ask(block.number, block.names()[1], buckets)
 
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """For each block's hashes, whether another block has them."""
-    blobs = table["hashes"].to_pylist()
-    counts = np.array([len(b) // _HASH_BYTES for b in blobs])
-    wide = np.zeros((counts.sum(), 8), np.uint8)
-    wide[:, :_HASH_BYTES] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, _HASH_BYTES)
-    hashes = wide.view(np.uint64).ravel()
-    block = np.repeat(np.arange(len(blobs)), counts)
-    order = np.argsort(hashes, kind="stable")
-    ordered = hashes[order]
-    again = np.diff(ordered, prepend=ordered[:1] + np.uint64(1)) == 0
-    # two names of one block may share a short hash; that only sends more segments
-    again |= np.append(again[1:], False)
-    shared = np.empty(len(hashes), bool)
-    shared[order] = again
-    ends = np.cumsum(counts)
-    return pa.table(
-        {
-            "block": table["block"],
-            "bucket": table["bucket"],
-            "shared": _binary([np.packbits(shared[e - c : e]) for c, e in zip(counts, ends)]),
-        }
-    )
-
-
 def _distinct(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first of each distinct byte string, and which of these each string is.
 
@@ -201,14 +154,10 @@ def _send(buckets: int, sorters: int):
             return _sent_schema().empty_table()
         block = _Block(table)
         (starts, lengths, hashes, rows), names, which, shared = block.names()
-        edges = np.append(_bucket_bounds(names, buckets), len(names))
-        for bucket, bits in zip(answers["bucket"].to_pylist(), answers["shared"].to_pylist()):
-            count = edges[bucket + 1] - edges[bucket]
-            flags = np.unpackbits(np.frombuffer(bits, np.uint8), count=count).astype(bool)
-            shared[edges[bucket] : edges[bucket + 1]] |= flags
+        shared |= answers_for(names, buckets, answers)
         used = np.flatnonzero(shared[which])
         used = used[np.argsort(hashes[used], kind="stable")]
-        cuts = np.append(_bucket_bounds(hashes[used], sorters), len(used))
+        cuts = np.append(bucket_bounds(hashes[used], sorters), len(used))
         out: list[list] = []
         for bucket in np.flatnonzero(np.diff(cuts)):
             mine = used[cuts[bucket] : cuts[bucket + 1]]
@@ -317,9 +266,9 @@ def _sort(table: pa.Table) -> pa.Table:
     return pa.table(
         {
             "block": table["block"].combine_chunks().take(pa.array(used)),
-            "row": _binary([row[place[p]].astype(np.uint32) for p in pieces]),
-            "start": _binary([start[p].astype(np.int64) for p in pieces]),
-            "stop": _binary([stop[p].astype(np.int64) for p in pieces]),
+            "row": binary([row[place[p]].astype(np.uint32) for p in pieces]),
+            "start": binary([start[p].astype(np.int64) for p in pieces]),
+            "stop": binary([stop[p].astype(np.int64) for p in pieces]),
         }
     )
 
@@ -370,12 +319,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     size = numbered.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 1
     blocks = math.ceil(size / BLOCK_BYTES)
     least = min(blocks, 256)
-    askers = max(least, math.ceil(size * 2 * _HASH_BYTES / (WIDTH - GRAM + 2) / BUCKET_BYTES))
+    askers = max(least, math.ceil(size * 2 * HASH_BYTES / (WIDTH - GRAM + 2) / BUCKET_BYTES))
     sorters = max(least, math.ceil(size / BUCKET_BYTES))
 
     in_blocks = numbered.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    asked = in_blocks.groupBy("block").applyInArrow(_ask(askers), _ASKED)
-    answered = asked.groupBy("bucket").applyInArrow(_answer, _ANSWERED)
+    asked = in_blocks.groupBy("block").applyInArrow(_ask(askers), ASKED)
+    answered = asked.groupBy("bucket").applyInArrow(answer, ANSWERED)
     sent = in_blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_send(askers, sorters), _SENT)
     ranges = sent.groupBy("bucket").applyInArrow(_sort, _RANGES)
     cut = in_blocks.groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(_cut, _RESULT)

@@ -20,3 +20,36 @@ def removed_bytes(texts: dict[int, str | None], width: int = 50) -> dict[int, tu
         kept = bytes(b for b, g in zip(value, gone) if not g)
         out[doc] = (len(value), sum(gone), runs, kept)
     return out
+
+
+def shingles(text: str | None, width: int = 5) -> set[tuple[str, ...]]:
+    import re
+
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall("[^\x20\x09-\x0d]+", lowered)
+    if not words:
+        return set()
+    return {tuple(words[n : n + width]) for n in range(max(len(words) - width + 1, 1))}
+
+
+def components(texts: dict[int, str | None]) -> dict[int, tuple[int, int]]:
+    """doc_id -> size of its set, smallest id reachable by links."""
+    sets = {doc: shingles(text) for doc, text in texts.items()}
+    parent = {doc: doc for doc in texts}
+
+    def find(doc: int) -> int:
+        while parent[doc] != doc:
+            doc = parent[doc]
+        return doc
+
+    holders: dict = {}
+    for doc, own in sets.items():
+        for shingle in own:
+            holders.setdefault(shingle, []).append(doc)
+    for doc, own in sets.items():
+        for other in {o for shingle in own for o in holders[shingle] if o < doc}:
+            both = len(own & sets[other])
+            if 100 * both >= 75 * (len(own) + len(sets[other]) - both):
+                low, high = sorted((find(doc), find(other)))
+                parent[high] = low
+    return {doc: (len(sets[doc]), find(doc)) for doc in texts}
