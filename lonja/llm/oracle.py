@@ -46,7 +46,26 @@ def line_dedup(documents: str = "documents") -> str:
 SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM t"""
 
 
+_UNITS = """u AS (SELECT doc_id, n, u, sum(length(u)) OVER (PARTITION BY doc_id ORDER BY n) AS stop,
+  translate(regexp_replace(u, '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, unnest(range(1, len(us) + 1)) AS n, unnest(us) AS u FROM
+    (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE
+      list_filter(string_split(regexp_replace(regexp_replace(text, '(\\n)', '\\1' || chr(1), 'g'), '([.!?] )', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')
+      END AS us FROM documents)))"""
+
+SUBSTRING_DEDUP = f"""WITH {_UNITS},
+g AS (SELECT k, min(struct_pack(doc_id := doc_id, start := stop - length(u))) AS f FROM u
+  WHERE octet_length(encode(k)) >= 40 GROUP BY k HAVING count(*) > 1),
+r AS (SELECT u.*, stop - length(u) AS start, g.k IS NOT NULL
+  AND (g.f.doc_id <> u.doc_id OR g.f.start <> stop - length(u)) AS gone FROM u LEFT JOIN g ON u.k = g.k)
+SELECT d.doc_id, count(n) AS n_units, count(*) FILTER (WHERE gone) AS n_removed,
+coalesce(string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR), ',' ORDER BY n) FILTER (WHERE gone), '') AS removed,
+sha256(coalesce(string_agg(u, '' ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id GROUP BY d.doc_id"""
+
 SQL = {
     "op4_decontamination": decontamination(),
     "op5_line_dedup": line_dedup(),
+    "op8_substring_dedup": SUBSTRING_DEDUP,
 }

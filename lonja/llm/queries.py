@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lonja.llm import bpe, decontamination, jaccard_join, language, line_dedup, suffix_dedup, toxicity
+from lonja.llm import (
+    bpe,
+    decontamination,
+    jaccard_join,
+    language,
+    line_dedup,
+    pii,
+    spotsigs,
+    suffix_dedup,
+    toxicity,
+    unit_dedup,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -46,6 +57,18 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
+    return spotsigs.fingerprints(_documents(spark, folder)).select(
+        "doc_id",
+        "n_chars",
+        _sha256(F.col("edited")).alias("edited_sha256"),
+        spotsigs.fingerprint(F.col("signatures")).alias("fingerprint"),
+        spotsigs.fingerprint(F.col("edited_signatures")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def tokenizer_path() -> str:
     """The public byte-level vocabulary, where the environment installs it on every machine."""
     import public_tokenizers
@@ -103,6 +126,17 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["stop"]))
+    return unit_dedup.remove_repeated_units(_documents(spark, folder)).select(
+        "doc_id",
+        "n_units",
+        F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(spans, ",").alias("removed"),
+        _sha256(F.col("kept")).alias("kept_sha256"),
+    )
+
+
 def op9_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_documents(spark, folder)).select(
         "doc_id",
@@ -113,12 +147,29 @@ def op9_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.personal_data(_documents(spark, folder))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def written(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def counted(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [counted(kind) for kind in pii.KINDS]
+    return found.select("doc_id", *counts, _sha256(written(base)).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_spotsigs": op2_spotsigs,
     "op3_bpe": op3_bpe,
     "op4_decontamination": op4_decontamination,
     "op5_line_dedup": op5_line_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_toxicity": op7_toxicity,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
+    "op10_pii": op10_pii,
 }
