@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,13 +53,11 @@ FREQUENT_LEAST = 64
 #: How often a shingle must be in one slice of texts to be counted there.
 FREQUENT_IN_SLICE = 4
 #: With how many leaders a row is compared at first. Later pairs make up for the others.
-LEADERS = 2
+LEADERS = 1
 
-_FIRST, _SET, _MEMBER = "first", "set", "member"
-_SENT = (
-    "kind string, doc_id bigint, n bigint, low bigint, high bigint, token bigint, place bigint,"
-    " tokens array<bigint>"
-)
+_MEMBER, _OFTEN, _FIRST, _SET = "member", "often", "first", "set"
+_SEEN = "kind string, doc_id bigint, n bigint, low bigint, high bigint, token bigint"
+_SENT = "kind string, doc_id bigint, n bigint, token bigint, place bigint, tokens array<bigint>"
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -108,34 +107,46 @@ def _distinct_sets(texts: pa.Array) -> tuple[list[np.ndarray], list[int]]:
     return sets, which
 
 
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
+def _rows(schema: str, kind: str, count: int, **columns) -> dict[str, pa.Array]:
+    """Columns of a schema: those given, the kind, and nulls."""
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "array<bigint>": pa.list_(pa.int64())}
+    columns["kind"] = pa.array([kind] * count, pa.string())
+    types = {f.split()[0]: kinds[f.split()[1]] for f in schema.split(", ")}
+    return {n: columns[n] if n in columns else pa.nulls(count, t) for n, t in types.items()}
+
+
+def _see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's set as size and digest, and the shingles that many sets of a slice have."""
+    for batch in bounded(batches, limit=BLOCK_BYTES):
+        sets, which = _distinct_sets(batch.column("text"))
+        digests = [(len(s), *_digest(s)) for s in sets] + [(0, None, None)]
+        mine = [digests[w] for w in which]
+        columns = {name: pa.array([d[k] for d in mine], pa.int64()) for k, name in enumerate(("n", "low", "high"))}
+        yield pa.RecordBatch.from_pydict(_rows(_SEEN, _MEMBER, len(mine), doc_id=batch.column("doc_id"), **columns))
+        tokens, counts = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
+        often = counts >= FREQUENT_IN_SLICE
+        columns = {"token": pa.array(tokens[often].view(np.int64)), "n": pa.array(counts[often].astype(np.int64))}
+        yield pa.RecordBatch.from_pydict(_rows(_SEEN, _OFTEN, int(often.sum()), **columns))
+
+
+def frequent_shingles(seen: DataFrame) -> np.ndarray:
     """The hashes of the shingles that come last in the order, sorted.
 
     No more than the average size of a set times ``FREQUENT_SHARE``, for any number of documents.
     """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, limit=BLOCK_BYTES):
-            sets, _ = _distinct_sets(batch.column("text"))
-            tokens, counts = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
-            often = counts >= FREQUENT_IN_SLICE
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))],
-                names=["token", "n"],
-            )
-
-    least = max(FREQUENT_LEAST, docs.count() // FREQUENT_SHARE)
-    counted = docs.select("text").mapInArrow(count, "token bigint, n bigint")
-    found = counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return np.sort(np.array([r["token"] for r in found.select("token").toLocalIterator()], np.int64).view(np.uint64))
+    least = max(FREQUENT_LEAST, seen.where(F.col("kind") == _MEMBER).count() // FREQUENT_SHARE)
+    counted = seen.where(F.col("kind") == _OFTEN).groupBy("token").agg(F.sum("n").alias("n"))
+    found = counted.where(F.col("n") >= least).select("token")
+    return np.sort(np.array([r["token"] for r in found.toLocalIterator()], np.int64).view(np.uint64))
 
 
 class _Block:
-    """The distinct sets of a block's documents, with the documents' smallest ids."""
+    """The distinct sets of a block's chosen documents, with the documents' smallest ids."""
 
-    def __init__(self, table: pa.Table, frequent: np.ndarray):
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    def __init__(self, table: pa.Table, chosen: pa.Array, frequent: np.ndarray):
         self.number = table["block"][0].as_py()
+        table = table.filter(pc.is_in(table["doc_id"], value_set=chosen))
+        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.doc_ids = table["doc_id"].to_pylist()
         self.sets, self.which = [], []
         numbers: dict = {}
@@ -147,7 +158,6 @@ class _Block:
                     numbers[key] = len(self.sets)
                     self.sets.append(tokens)
             self.which += [numbers[digests[w]] if w >= 0 else -1 for w in which]
-        self.digests = list(numbers)
         self.owner = [None] * len(self.sets)
         for doc_id, which in zip(reversed(self.doc_ids), reversed(self.which)):
             if which >= 0:
@@ -169,59 +179,45 @@ class _Block:
 
 
 def _ask(buckets: int, frequent):
-    def run(table: pa.Table) -> pa.Table:
-        block = _Block(table, frequent.value)
+    def run(table: pa.Table, chosen: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return ask(0, np.zeros(0, np.uint64), buckets)
+        block = _Block(table, chosen["doc_id"].combine_chunks(), frequent.value)
         return ask(block.number, block.distinct, buckets)
 
     return run
 
 
-def _rows(kind: str, count: int, **columns) -> pa.Table:
-    types = {f.split()[0]: f.split()[1] for f in _SENT.split(", ")}
-    kinds = {"bigint": pa.int64(), "string": pa.string(), "array<bigint>": pa.list_(pa.int64())}
-    columns["kind"] = pa.array([kind] * count, pa.string())
-    return pa.table({n: columns.get(n, pa.nulls(count, kinds[t])) for n, t in types.items()})
-
-
 def _send(buckets: int, frequent):
-    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _rows(_MEMBER, 0)
-        block = _Block(table, frequent.value)
+            return pa.table(_rows(_SENT, _FIRST, 0))
+        chosen = told["doc_id"].combine_chunks().drop_null()
+        answers = told.filter(pc.is_valid(told["bucket"]))
+        block = _Block(table, chosen, frequent.value)
         used = (block.twice | answers_for(block.distinct, buckets, answers))[block.token]
         holder = block.holder[used]
         owner = np.array(block.owner, np.int64)
         sizes = np.array([len(s) for s in block.sets], np.int64)
         holders = np.unique(holder)
-        known = [w for w in block.which]
-        digest = [block.digests[w] if w >= 0 else (0, None, None) for w in known]
-        return pa.concat_tables(
-            [
-                _rows(
-                    _MEMBER,
-                    len(known),
-                    doc_id=pa.array(block.doc_ids, pa.int64()),
-                    n=pa.array([d[0] for d in digest], pa.int64()),
-                    low=pa.array([d[1] for d in digest], pa.int64()),
-                    high=pa.array([d[2] for d in digest], pa.int64()),
-                ),
-                _rows(
-                    _FIRST,
-                    len(holder),
-                    doc_id=pa.array(owner[holder], pa.int64()),
-                    n=pa.array(sizes[holder], pa.int64()),
-                    token=pa.array(block.tokens[used].view(np.int64)),
-                    place=pa.array(block.place[used]),
-                ),
-                _rows(
-                    _SET,
-                    len(holders),
-                    doc_id=pa.array(owner[holders], pa.int64()),
-                    n=pa.array(sizes[holders], pa.int64()),
-                    tokens=pa.array([block.sets[h].view(np.int64) for h in holders], pa.list_(pa.int64())),
-                ),
-            ]
+        firsts = _rows(
+            _SENT,
+            _FIRST,
+            len(holder),
+            doc_id=pa.array(owner[holder], pa.int64()),
+            n=pa.array(sizes[holder], pa.int64()),
+            token=pa.array(block.tokens[used].view(np.int64)),
+            place=pa.array(block.place[used]),
         )
+        sets = _rows(
+            _SENT,
+            _SET,
+            len(holders),
+            doc_id=pa.array(owner[holders], pa.int64()),
+            n=pa.array(sizes[holders], pa.int64()),
+            tokens=pa.array([block.sets[h].view(np.int64) for h in holders], pa.list_(pa.int64())),
+        )
+        return pa.concat_tables([pa.table(firsts), pa.table(sets)])
 
     return run
 
@@ -314,53 +310,53 @@ def _least_shared(n: Column, m: Column) -> Column:
     return F.least(overlap - outside(n), overlap - outside(m))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id``, the smallest doc_id reachable by links."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    numbered, others = texts.where(F.col("doc_id").isNotNull()), texts.where(F.col("doc_id").isNull())
-    frequent = spark.sparkContext.broadcast(frequent_shingles(numbered))
-    size = numbered.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 1
+def _incidence(texts: DataFrame, class_ids: DataFrame, frequent) -> DataFrame:
+    """The entries of the matrix that two rows share among their first shingles, and those rows."""
+    size = texts.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 1
     blocks = math.ceil(size / BLOCK_BYTES)
     buckets = max(min(blocks, 256), math.ceil(size / 20 * HASH_BYTES / BUCKET_BYTES))
-
-    in_blocks = numbered.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    asked = in_blocks.groupBy("block").applyInArrow(_ask(buckets, frequent), ASKED)
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
+    in_blocks, chosen = texts.select("doc_id", "text", block), class_ids.select("doc_id", block)
+    asked = in_blocks.groupBy("block").cogroup(chosen.groupBy("block")).applyInArrow(_ask(buckets, frequent), ASKED)
     answered = asked.groupBy("bucket").applyInArrow(answer, ANSWERED)
-    sent = in_blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_send(buckets, frequent), _SENT)
-    sent = stage(sent, "shingles")
+    told = answered.unionByName(chosen, allowMissingColumns=True)
+    sent = in_blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_send(buckets, frequent), _SENT)
+    return stage(sent, "shingles")
+
 
-    members = sent.where(F.col("kind") == _MEMBER).select("doc_id", "n", "low", "high")
-    classes = members.where(F.col("n") > 0).groupBy("n", "low", "high").agg(F.min("doc_id").alias("class_id"))
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id``, the smallest doc_id reachable by links."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    seen = stage(texts.mapInArrow(_see, _SEEN), "shingle-sets")
+    members = seen.where(F.col("kind") == _MEMBER).select("doc_id", "n", "low", "high")
+    numbered = F.col("doc_id").isNotNull()
+    classes = members.where(numbered & (F.col("n") > 0)).groupBy("n", "low", "high")
+    classes = stage(classes.agg(F.min("doc_id").alias("class_id")), "set-classes")
     class_ids = classes.select(F.col("class_id").alias("doc_id")).distinct()
+    frequent = spark.sparkContext.broadcast(frequent_shingles(seen))
+    sent = _incidence(texts.where(numbered), class_ids, frequent)
     firsts = sent.where(F.col("kind") == _FIRST).select("doc_id", "n", "token", "place")
-    firsts = stage(firsts.join(class_ids, "doc_id", "left_semi"), "first-shingles")
     sets = sent.where(F.col("kind") == _SET).select("doc_id", "tokens")
 
-    links = stage(_verified(_leader_pairs(firsts), sets), "leader-links")
+    pairs = stage(_leader_pairs(firsts), "leader-pairs")
+    links = stage(_verified(pairs, sets), "leader-links")
     component = connected_components(links)
-    more = stage(_verified(_other_pairs(firsts, component), sets), "other-links")
-    component = connected_components(component.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).union(more))
+    pairs = stage(_other_pairs(firsts, component), "other-pairs")
+    more = stage(_verified(pairs, sets), "other-links")
+    if more.head(1):
+        ties = component.select(F.col("doc_id").alias("a"), F.col("component").alias("b"))
+        component = connected_components(ties.union(more))
 
     known = members.join(classes, ["n", "low", "high"], "left").select("doc_id", "n", "class_id")
-    repeated = known.groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("a")).where("a <> b")
+    repeated = known.groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("a"))
+    repeated = repeated.where(numbered & (F.col("a") != F.col("b")))
     if repeated.head(1):  # texts that share an id tie their classes together
         pairs = known.join(repeated.select("doc_id", "b"), "doc_id").where("class_id <> b")
         ties = component.select(F.col("doc_id").alias("a"), F.col("component").alias("b"))
         component = connected_components(ties.union(pairs.select(F.col("class_id").alias("a"), "b")))
     component = component.select(F.col("doc_id").alias("class_id"), "component")
-    whole = known.join(component, "class_id", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component", "class_id", "doc_id").alias("component_id"),
+    found = F.coalesce("component", "class_id", "doc_id")
+    return known.join(component, "class_id", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(numbered, found).alias("component_id")
     )
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches):
-            sizes = [len(s) for s in shingle_sets(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(sizes), pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(sizes), pa.int64())],
-                names=["doc_id", "n_shingles", "component_id"],
-            )
-
-    return whole.union(others.select("text").mapInArrow(count, "doc_id bigint, n_shingles bigint, component_id bigint"))
