@@ -34,6 +34,8 @@ MAX_LANGUAGES = 500
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 EPOCHS = 6
+#: Small samples are gone through more often, up to so many steps.
+STEPS = 3000
 SLICE_BYTES = 1 << 20
 UNDEFINED = "und"
 
@@ -138,8 +140,9 @@ def train(sample: list[tuple[str, str]], seed: int = 7) -> LanguageModel | None:
     weights = random.normal(0, 0.1, (DIMENSIONS, len(languages)))
     shares = np.bincount(target, minlength=len(languages)) + 1.0
     bias = np.log(shares / shares.sum())
-    for epoch in range(EPOCHS):
-        rate = 0.5 * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, min(60, STEPS // max(len(used), 1)))
+    for epoch in range(epochs):
+        rate = 0.5 * (1 - epoch / epochs)
         for row in random.permutation(used):
             features, counts = rows[row]
             if not len(features):
