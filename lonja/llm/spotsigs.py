@@ -28,13 +28,24 @@ from lonja.runtime import stage
 CHAIN = 2
 THRESHOLD = 0.75
 _GLUE = "\x01"
-_ANCHORS = "|".join(sorted({w for words in COMMON_WORDS.values() for w in words.split()}))
+_WORDS = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
+
+
+def _anchor_pattern() -> str:
+    """The common words, grouped by their first letters; longer words are passed over at once."""
+    heads = sorted({w[0] for w in _WORDS})
+    groups = (f"{h}(?:{'|'.join(w[1:] for w in _WORDS if w[0] == h)})" for h in heads)
+    longest = max(map(len, _WORDS))
+    return rf"(?<=[ {_GLUE}])(?=[^ ]{{1,{longest}}} )({'|'.join(groups)}) "
+
+
+_ANCHORS = _anchor_pattern()
 
 
 def _units(text: Column) -> Column:
     """The content words, each with the common words before it glued on."""
     words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    glued = F.regexp_replace(words, rf"(?<=[ {_GLUE}])({_ANCHORS}) ", f"$1{_GLUE}")
+    glued = F.regexp_replace(words, _ANCHORS, f"$1{_GLUE}")
     return F.filter(F.split(glued, " "), lambda u: u != "")
 
 
@@ -110,13 +121,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("key"), F.char_length(text).cast("long").alias("n_chars"))
     order = _successors(texts)
     held = texts.where(F.col("doc_id").isNotNull()).select("doc_id", "key", "text")
-    sources = held.dropDuplicates(["doc_id", "key"]).select(
-        F.col("doc_id").alias("next_id"), F.col("key").alias("next_key"), F.col("text").alias("next_text")
-    )
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    moved = with_signatures(order.join(sources, ["next_id", "next_key"]), "next_text", "next_signatures").select(
-        "doc_id", "key", F.substring("next_text", F.lit(1), half).alias("head"), "next_signatures"
+    # the texts' side is the same in both joins, so it is shuffled once
+    wanted = order.select(
+        F.col("doc_id").alias("to_id"), F.col("key").alias("to_key"), "n_chars",
+        F.col("next_id").alias("doc_id"), F.col("next_key").alias("key"),
+    )
+    moved = with_signatures(wanted.join(held, ["doc_id", "key"]), "text", "next_signatures").select(
+        F.col("to_id").alias("doc_id"),
+        F.col("to_key").alias("key"),
+        F.substring("text", F.lit(1), half).alias("head"),
+        "next_signatures",
     )
+    moved = moved.dropDuplicates(["doc_id", "key"])
     nothing = F.lit("").alias("head"), F.array().cast("array<int>").alias("next_signatures")
     joined = held.join(moved, ["doc_id", "key"]).unionByName(
         texts.where(F.col("doc_id").isNull()).select("doc_id", "key", "text", *nothing)
