@@ -151,6 +151,18 @@ def _client_queries() -> dict[str, _Query]:
     }
 
 
+def _text_dates(ops: DataFrame) -> DataFrame:
+    """Dates as a table without a schema holds them, some of them invalid."""
+    text = F.date_format("registered_on", "yyyy-MM-dd")
+    bad = F.col("operation_id").endswith("1")
+    return ops.withColumn("registered_on", F.when(bad, "31/31/2025").otherwise(text))
+
+
+def _fractional_percents(ops: DataFrame) -> DataFrame:
+    shares = {name: F.col(name) / 7 for name in ("pct_ref_sale", "pct_ref_purchase")}
+    return ops.withColumns(shares)
+
+
 def _catalogue() -> dict[str, _Query]:
     referrer = ("referrer", *_MONEY, "pct_ref_sale", "pct_ref_purchase")
     churn = ("client_name", "registered_on", "commission")
@@ -161,6 +173,7 @@ def _catalogue() -> dict[str, _Query]:
     prospects = (*_PARTIES, "client_id", "client_name", *payer)
     priced = ("operation_id", "client_name", "product", *_MONEY)
     days = ("registered_on", "commission")
+    text_days = ("operation_id", *days)
     return {
         "f03_list_months": _Query(filters.list_months, ("month_name",), False),
         "f04_list_years": _Query(filters.list_years, ("year",), False),
@@ -179,11 +192,22 @@ def _catalogue() -> dict[str, _Query]:
         "q02_monthly_trend": _Query(performance.monthly_trend, ("month_name", *_MONEY)),
         "q03_top_clients": _Query(performance.top_clients, ("client_name", *_MONEY)),
         "q04_referrers": _Query(performance.referrers, referrer),
+        "q04_referrers_fractional": _Query(
+            lambda o, f: performance.referrers(_fractional_percents(o), f), referrer
+        ),
         "q05_top_referrers": _Query(performance.top_referrers, referrer),
         "q06_referrer_summary": _Query(performance.referrer_summary, referrer),
         "q07_top_products": _Query(performance.top_products, ("product", *_MONEY)),
         "q08_churn_risk": _Query(lambda o, f: strategy.churn_risk(o, f, as_of=AS_OF), churn),
         "q09_churn_at_risk": _Query(lambda o, f: strategy.churn_at_risk(o, f, as_of=AS_OF), churn),
+        "q08_churn_risk_text_dates": _Query(
+            lambda o, f: strategy.churn_risk(_text_dates(o), f, as_of=AS_OF),
+            ("operation_id", *churn),
+        ),
+        "q09_churn_at_risk_text_dates": _Query(
+            lambda o, f: strategy.churn_at_risk(_text_dates(o), f, as_of=AS_OF),
+            ("operation_id", *churn),
+        ),
         "q10_cross_sell": _Query(strategy.cross_sell, bought),
         "q10_cross_sell_all_pairs": _Query(
             lambda o, f: strategy.cross_sell(o, f, n=None), bought
@@ -217,6 +241,13 @@ def _catalogue() -> dict[str, _Query]:
         "q44_weekday_labels": _Query(
             lambda o, f: operations.weekday_labels(operations.by_weekday(o, f)), days
         ),
+        "q43_by_weekday_text_dates": _Query(
+            lambda o, f: operations.by_weekday(_text_dates(o), f), text_days
+        ),
+        "q44_weekday_labels_text_dates": _Query(
+            lambda o, f: operations.weekday_labels(operations.by_weekday(_text_dates(o), f)),
+            text_days,
+        ),
         "q45_by_operation_type": _Query(operations.by_operation_type, ("operation_type", *_MONEY)),
         "q46_buyer_cities": _Query(operations.buyer_cities, ("buyer_city", "commission")),
         "q47_seller_cities": _Query(operations.seller_cities, ("seller_city", "commission")),

@@ -19,6 +19,11 @@ def month_rank(month: Column) -> Column:
     return F.coalesce(position, F.lit(0)).cast("int")
 
 
+def valid_date(value: Column) -> Column:
+    """A date or year-month-day text as a date; other text is NULL."""
+    return value.try_cast("date")
+
+
 def weekday_number(day: Column) -> Column:
     """1 for Monday to 7 for Sunday."""
     return F.extract(F.lit("DAYOFWEEK_ISO"), day).cast("int")

@@ -1,65 +1,83 @@
 """Aggregates whose value does not depend on the order in which rows are added.
 
-Doubles are summed as whole units of 10^-scale. Each row's units are split into a high and a
-low part, and the two parts are added as 64-bit integers: the cost of two long sums, the same
-result from any partitioning, and room for 10^12 rows in one group. Single values too large
-for that, and values that are no numbers, are added apart as doubles.
+A double is cut into its whole part, three limbs of 22 bits, and its fraction to twelve decimals,
+two limbs of 20 bits. Each limb is summed as a 64-bit integer, which holds for 10^12 rows in one
+group, and the sums meet in one decimal per group. Values from 2^62, infinities and NaN are added
+apart as doubles and reach the result; only among values of that size does the last digit depend
+on the order.
 """
 
 from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
-AMOUNT_SCALE = 4
-RATE_SCALE = 10
+DECIMALS = 12
 
-_LOW_BITS = 22
-_LARGEST_UNITS = float(1 << 62)
+_WHOLE_BITS = 22
+_FRACTION_BITS = 20
+_LARGE = float(1 << 62)
+_N_PARTS = 6
 
 
-def _parts(x: Column, scale: int) -> tuple[Column, Column, Column]:
-    """High and low part of a row's units, or the row's value where it has no units."""
-    scaled = x * F.lit(float(10**scale))
-    fits = F.abs(scaled) < _LARGEST_UNITS
-    rounded = F.when(scaled < 0, scaled - 0.5).otherwise(scaled + 0.5)
-    units = F.when(fits, rounded).cast("bigint")
-    low = units.bitwiseAND(F.lit((1 << _LOW_BITS) - 1))
-    return F.shiftright(units, _LOW_BITS), low, F.when(~fits, x)
+def _low(units: Column, bits: int) -> Column:
+    return units.bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def _from_sums(high: Column, low: Column, large: Column, scale: int) -> Column:
-    total = high.cast("decimal(38,0)") * F.lit(Decimal(1 << _LOW_BITS)) + low
-    # 37 - scale whole digits leave the product exactly `scale` decimals in 38 digits
-    exact = total.cast(f"decimal({37 - scale},0)") * F.lit(Decimal(1).scaleb(-scale))
-    exact = exact.cast("double")
-    return F.when(large.isNull(), exact).otherwise(F.coalesce(exact, F.lit(0.0)) + large)
+def _parts(x: Column) -> list[Column]:
+    """Limbs of a row's value, highest first, and the value itself where it is too large.
 
+    Only the last is NULL where the row has no value. Each part repeats ``x``, so it is kept short.
+    """
+    fits = F.abs(x) < _LARGE
+    held = F.when(fits, x).otherwise(0.0)
+    whole = held.cast("bigint")
+    fraction = F.rint((held - whole) * F.lit(float(10**DECIMALS))).cast("bigint")
+    return [
+        F.shiftright(whole, 2 * _WHOLE_BITS),
+        _low(F.shiftright(whole, _WHOLE_BITS), _WHOLE_BITS),
+        _low(whole, _WHOLE_BITS),
+        F.shiftright(fraction, _FRACTION_BITS),
+        _low(fraction, _FRACTION_BITS),
+        F.when(fits, 0.0).otherwise(x),
+    ]
 
-def exact_sum(x: Column, scale: int = AMOUNT_SCALE) -> Column:
+
+def _from_sums(sums: list[Column]) -> Column:
+    *limbs, large = sums
+    high, middle, low, upper, lower = [limb.cast("decimal(19,0)") for limb in limbs]
+    whole = high * Decimal(1 << 2 * _WHOLE_BITS) + middle * Decimal(1 << _WHOLE_BITS) + low
+    units = (upper * Decimal(1 << _FRACTION_BITS) + lower).cast("decimal(25,0)")
+    fraction = (units * Decimal(1).scaleb(-DECIMALS)).cast("decimal(30,12)")
+    # 25 whole digits and 12 decimals fill a decimal; a larger double has no decimals
+    exact = F.coalesce((whole.try_cast("decimal(25,0)") + fraction).cast("double"), whole.cast("double"))
+    return exact + large
+
+
+def exact_sum(x: Column) -> Column:
     """Sum of one value per row; NULL when there is none."""
-    return _from_sums(*[F.sum(part) for part in _parts(x, scale)], scale)
+    return _from_sums([F.sum(part) for part in _parts(x)])
 
 
-def subtotal(x: Column, name: str, scale: int = AMOUNT_SCALE) -> list[Column]:
-    """The columns of a sum that ``sum_of_subtotals`` finishes over coarser groups."""
-    return [F.sum(part).alias(f"{name}_{i}") for i, part in enumerate(_parts(x, scale))]
+def exact_sum_over(x: Column, window: WindowSpec) -> Column:
+    """``exact_sum`` over a window."""
+    return _from_sums([F.sum(part).over(window) for part in _parts(x)])
 
 
-def sum_of_subtotals(name: str, scale: int = AMOUNT_SCALE) -> Column:
-    return _from_sums(*[F.sum(f"{name}_{i}") for i in range(3)], scale)
+def subtotal(x: Column, name: str) -> list[Column]:
+    """The columns of a sum that ``sum_of_subtotals`` finishes over coarser groups."""
+    return [F.sum(part).alias(f"{name}_{i}") for i, part in enumerate(_parts(x))]
 
 
-def total_of(x: Column) -> Column:
-    """Sum of values that are totals already, so few rows but of any size."""
-    return F.sum(x.cast("decimal(28,4)")).cast("double")
+def sum_of_subtotals(name: str) -> Column:
+    return _from_sums([F.sum(f"{name}_{i}") for i in range(_N_PARTS)])
 
 
-def exact_avg(x: Column, scale: int = AMOUNT_SCALE) -> Column:
+def exact_avg(x: Column) -> Column:
     """Mean of the non-null values."""
-    return F.try_divide(exact_sum(x, scale), F.count(x))
+    return F.try_divide(exact_sum(x), F.count(x))
 
 
 def commission_rate(commission: Column, value: Column) -> Column:
@@ -69,7 +87,7 @@ def commission_rate(commission: Column, value: Column) -> Column:
 
 def mean_rate(ratio: Column) -> Column:
     """Mean of per-operation ratios, in percent."""
-    return exact_avg(ratio, RATE_SCALE) * 100
+    return exact_avg(ratio) * 100
 
 
 def operation_rate() -> Column:

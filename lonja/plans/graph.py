@@ -49,7 +49,7 @@ def _nodes(edges: DataFrame, labels: Labels) -> DataFrame:
     nodes = (
         edges.select(ends, "commission")
         .groupBy("node_id")
-        .agg(m.total_of(F.col("commission")).alias("commission"), m.rows().alias("degree"))
+        .agg(m.exact_sum(F.col("commission")).alias("commission"), m.rows().alias("degree"))
     )
     return _with_type_and_name(nodes, labels)
 
@@ -106,7 +106,7 @@ def network_health(edges: DataFrame) -> DataFrame:
         F.count_distinct("seller").alias("sellers"),
         F.count_distinct("buyer").alias("buyers"),
         m.rows().alias("edges"),
-        m.total_of(F.col("commission")).alias("total_commission"),
+        F.coalesce(m.exact_sum(F.col("commission")), F.lit(0.0)).alias("total_commission"),
         F.avg("transactions").alias("avg_transactions_per_pair"),
     ).select(
         F.coalesce(

@@ -74,7 +74,7 @@ def principal_share(
 
     def paid(payer: str):
         of_payer = F.when(F.col("principal_type") == payer, commission)
-        return F.coalesce(m.total_of(of_payer), F.lit(0.0))
+        return F.coalesce(m.exact_sum(of_payer), F.lit(0.0))
 
     both = F.col("seller_commission") + F.col("buyer_commission")
     return (
@@ -123,12 +123,12 @@ def _prospects(
         .groupBy(f"{side}_id", f"{side}_name", partner_id)
         .agg(
             *m.subtotal(F.col("business_value"), "value"),
-            *m.subtotal(m.operation_rate(), "rate", m.RATE_SCALE),
+            *m.subtotal(m.operation_rate(), "rate"),
             F.count(m.operation_rate()).alias("rated"),
             m.rows().alias("operations"),
         )
     )
-    rate = F.try_divide(m.sum_of_subtotals("rate", m.RATE_SCALE), F.sum("rated")) * 100
+    rate = F.try_divide(m.sum_of_subtotals("rate"), F.sum("rated")) * 100
     listed = (
         dealings.join(ours, partner_id, "left_semi")
         .groupBy(
@@ -181,7 +181,7 @@ def prospect_opportunity(
         .groupBy("side")
         .agg(
             m.rows().alias("prospects"),
-            m.total_of(F.col("commission_opportunity")).alias("total_opportunity"),
+            m.exact_sum(F.col("commission_opportunity")).alias("total_opportunity"),
         )
     )
 
@@ -275,7 +275,7 @@ def relationship_summary(
         m.rows().alias("total_relationships"),
         F.count_if(mutual).alias("mutual_relationships"),
         F.count_if(~mutual).alias("one_sided_relationships"),
-        m.total_of(F.col("total_commission")).alias("total_commission"),
+        m.exact_sum(F.col("total_commission")).alias("total_commission"),
     )
 
 

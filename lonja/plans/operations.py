@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lonja.functions import measures as m
-from lonja.functions.calendar import weekday_label, weekday_name, weekday_number
+from lonja.functions.calendar import valid_date, weekday_label, weekday_name, weekday_number
 from lonja.operators.filters import OpsFilter, apply_filter
 
 
@@ -14,7 +14,7 @@ def by_weekday(ops: DataFrame, f: OpsFilter | None = None) -> DataFrame:
     """Monday first; operations without a valid date last."""
     return (
         apply_filter(ops, f)
-        .groupBy(weekday_number(F.col("registered_on")).alias("day_number"))
+        .groupBy(weekday_number(valid_date(F.col("registered_on"))).alias("day_number"))
         .agg(
             m.rows().alias("operations"),
             m.sum_commission().alias("commission"),

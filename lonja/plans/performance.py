@@ -98,6 +98,6 @@ def top_referrers(ops: DataFrame, f: OpsFilter | None = None, n: int = 10) -> Da
 def referrer_summary(ops: DataFrame, f: OpsFilter | None = None) -> DataFrame:
     return referrers(ops, f).agg(
         m.rows().alias("total_referrers"),
-        m.total_of(F.col("total_commission")).alias("total_commission"),
-        m.total_of(F.col("referrer_earnings")).alias("total_earnings"),
+        F.coalesce(m.exact_sum(F.col("total_commission")), F.lit(0.0)).alias("total_commission"),
+        F.coalesce(m.exact_sum(F.col("referrer_earnings")), F.lit(0.0)).alias("total_earnings"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lonja.functions import measures as m
 from lonja.labels import ENGLISH, Labels
 from lonja.operators.filters import OpsFilter, apply_filter
+from lonja.runtime import stage
 
 # Upper ends of the first three size bands.
 SIZE_BANDS = (1_000_000.0, 10_000_000.0, 50_000_000.0)
@@ -30,9 +31,8 @@ def pareto(ops: DataFrame, f: OpsFilter | None = None, *, n: int = 50) -> DataFr
     )
     everything = Window.partitionBy(F.lit(0))
     so_far = everything.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    amount = F.col("commission").cast("decimal(28,4)")
-    running = F.sum(amount).over(so_far).cast("double")
-    total = F.sum(amount).over(everything).cast("double")
+    running = m.exact_sum_over(F.col("commission"), so_far)
+    total = m.exact_sum_over(F.col("commission"), everything)
     return listed.select(
         "client_name",
         "commission",
@@ -64,8 +64,8 @@ def concentration(
     return (
         placed.agg(
             F.coalesce(F.max("first"), F.lit(0)).alias("top_clients"),
-            F.coalesce(m.total_of(in_first), F.lit(0.0)).alias("top_commission"),
-            m.total_of(F.col("commission")).alias("total"),
+            F.coalesce(m.exact_sum(in_first), F.lit(0.0)).alias("top_commission"),
+            m.exact_sum(F.col("commission")).alias("total"),
         )
         .select("top_clients", share.alias("top_percentage"))
         .withColumn("high_risk", F.coalesce(F.col("top_percentage") > high, F.lit(False)))
@@ -77,13 +77,15 @@ def pricing_anomalies(
 ) -> DataFrame:
     """Operations charged under ``factor`` of their product's mean rate.
 
-    Products whose mean rate is not positive are left out.
+    Products whose mean rate is not positive are left out. The rates are staged: with their true
+    size known, the operations are only scanned as long as the rates are small.
     """
     facts = apply_filter(ops, f)
-    products = (
+    products = stage(
         facts.groupBy("product")
         .agg(m.avg_rate().alias("market_avg_rate"))
-        .where(F.col("market_avg_rate") > 0)
+        .where(F.col("market_avg_rate") > 0),
+        "product-rates",
     )
     actual, market = F.col("actual_rate"), F.col("market_avg_rate")
     return (

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lonja.functions import measures as m
+from lonja.functions.calendar import valid_date
 from lonja.labels import ENGLISH, Labels
 from lonja.operators.cooccurrence import shared_holders
 from lonja.operators.filters import OpsFilter, apply_filter
@@ -31,13 +32,13 @@ def churn_risk(
 ) -> DataFrame:
     """Clients idle for more than ``days`` at ``as_of``, by what they earned us.
 
-    A client without any valid date is not listed.
+    A client without any valid date is not listed; a text that is no date is no valid date.
     """
     return (
         apply_filter(ops, f)
         .groupBy("client_name")
         .agg(
-            F.max("registered_on").alias("last_transaction"),
+            F.max(valid_date(F.col("registered_on"))).alias("last_transaction"),
             m.sum_commission().alias("lifetime_commission"),
             m.rows().alias("total_transactions"),
         )
@@ -66,7 +67,9 @@ def churn_at_risk(
     """Count and lifetime commission of the listed clients."""
     return churn_risk(ops, f, as_of=as_of, days=days, n=n).agg(
         m.rows().alias("clients_at_risk"),
-        m.total_of(F.col("lifetime_commission")).alias("commission_at_risk"),
+        F.coalesce(m.exact_sum(F.col("lifetime_commission")), F.lit(0.0)).alias(
+            "commission_at_risk"
+        ),
     )
 
 
@@ -144,9 +147,9 @@ def client_segments(
         clients.groupBy(segment.alias("segment"))
         .agg(
             m.rows().alias("client_count"),
-            m.total_of(total).alias("segment_commission"),
+            m.exact_sum(total).alias("segment_commission"),
             F.avg("transactions").alias("avg_transactions"),
-            F.try_divide(m.total_of(F.col("mean")), F.count("mean")).alias(
+            F.try_divide(m.exact_sum(F.col("mean")), F.count("mean")).alias(
                 "avg_commission_per_deal"
             ),
         )
@@ -163,8 +166,8 @@ def vip_share(
     return (
         client_segments(ops, f, labels=labels)
         .agg(
-            F.coalesce(m.total_of(top), F.lit(0.0)).alias("vip_commission"),
-            m.total_of(commission).alias("total"),
+            F.coalesce(m.exact_sum(top), F.lit(0.0)).alias("vip_commission"),
+            m.exact_sum(commission).alias("total"),
         )
         .select(
             "vip_commission",

@@ -48,8 +48,14 @@ WHEN month_name LIKE 'sep%' THEN 9 WHEN month_name LIKE 'oct%' THEN 10
 WHEN month_name LIKE 'nov%' THEN 11 WHEN month_name LIKE 'dic%' THEN 12 ELSE 0 END"""
 
 
+def exact(x: str, window: str = "") -> str:
+    """Sum of whole parts and of fractions to twelve decimals."""
+    return f"""(SUM(CAST(TRUNC({x}) AS DECIMAL(38,0))) {window}
++ SUM(CAST({x} - TRUNC({x}) AS DECIMAL(28,12))) {window})"""
+
+
 def total(x: str) -> str:
-    return f"CAST(SUM(CAST({x} AS DECIMAL(28,4))) AS DOUBLE)"
+    return f"CAST({exact(x)} AS DOUBLE)"
 
 
 def mean(x: str) -> str:
@@ -60,7 +66,7 @@ RATIO = "(commission / NULLIF(business_value, 0))"
 
 
 def mean_rate(ratio: str = RATIO) -> str:
-    return f"CAST(SUM(CAST({ratio} AS DECIMAL(28,10))) AS DOUBLE) / COUNT({ratio}) * 100"
+    return f"{mean(ratio)} * 100"
 
 
 COMMISSION, VALUE, RATE = total("commission"), total("business_value"), mean_rate()
@@ -209,7 +215,7 @@ ORDER BY degree DESC, node_id LIMIT 1""",
         "q31_network_health": f"""SELECT 2 * e / (n * (n - 1)) AS density, total_commission,
 avg_transactions_per_pair
 FROM (SELECT COUNT(*) AS e, COUNT(DISTINCT seller) + COUNT(DISTINCT buyer) AS n,
-      {total("commission")} AS total_commission,
+      COALESCE({total("commission")}, 0) AS total_commission,
       AVG(transactions) AS avg_transactions_per_pair FROM ({edges}))""",
         "q32_betweenness": bridges,
         "q32_bridge_node": f"{bridges} ORDER BY betweenness DESC, node_id LIMIT 1",
@@ -261,6 +267,7 @@ ORDER BY commission DESC NULLS LAST, city LIMIT 10"""
 LISTED = f"""SELECT client_name, {COMMISSION} AS commission FROM f GROUP BY client_name
 ORDER BY commission DESC NULLS LAST, client_name NULLS LAST LIMIT 50"""
 IN_ORDER = "ORDER BY commission DESC NULLS LAST, client_name NULLS LAST"
+SO_FAR = f"OVER ({IN_ORDER} ROWS UNBOUNDED PRECEDING)"
 
 ANOMALIES = f"""SELECT operation_id, client_name, product, business_value AS transaction_value,
 {RATIO} * 100 AS actual_rate, market_avg_rate,
@@ -314,12 +321,13 @@ COUNT(*) AS operations FROM f GROUP BY month_name""",
     "q04_referrers": REFERRERS,
     "q05_top_referrers": f"{REFERRERS} LIMIT 10",
     "q06_referrer_summary": f"""SELECT COUNT(*) AS total_referrers,
-{total("total_commission")} AS total_commission, {total("referrer_earnings")} AS total_earnings
+COALESCE({total("total_commission")}, 0) AS total_commission,
+COALESCE({total("referrer_earnings")}, 0) AS total_earnings
 FROM ({REFERRERS})""",
     "q07_top_products": top_by_commission("product"),
     "q08_churn_risk": CHURN,
     "q09_churn_at_risk": f"""SELECT COUNT(*) AS clients_at_risk,
-{total("lifetime_commission")} AS commission_at_risk FROM ({CHURN})""",
+COALESCE({total("lifetime_commission")}, 0) AS commission_at_risk FROM ({CHURN})""",
     "q10_cross_sell": f"{CROSS_SELL} LIMIT 10",
     "q10_cross_sell_all_pairs": CROSS_SELL,
     "q11_client_segments": SEGMENTS,
@@ -386,9 +394,9 @@ FROM (SELECT {COMMISSION} AS c, {VALUE} AS v FROM ops WHERE {OWN})""",
     "q46_buyer_cities": cities("buyer_city"),
     "q47_seller_cities": cities("seller_city"),
     "q48_pareto": f"""SELECT client_name, commission,
-CAST(SUM(CAST(commission AS DECIMAL(28,4))) OVER ({IN_ORDER} ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS cumulative_commission,
-CAST(SUM(CAST(commission AS DECIMAL(28,4))) OVER ({IN_ORDER} ROWS UNBOUNDED PRECEDING) AS DOUBLE)
-/ CAST(SUM(CAST(commission AS DECIMAL(28,4))) OVER () AS DOUBLE) * 100 AS cumulative_pct
+CAST({exact("commission", SO_FAR)} AS DOUBLE) AS cumulative_commission,
+CAST({exact("commission", SO_FAR)} AS DOUBLE)
+/ CAST({exact("commission", "OVER ()")} AS DOUBLE) * 100 AS cumulative_pct
 FROM ({LISTED})""",
     "q49_concentration": f"""SELECT k AS top_clients, share AS top_percentage,
 share > 80 AS high_risk
@@ -406,6 +414,14 @@ ELSE 'Very large' END AS size_band, COUNT(*) AS transaction_count,
 BODIES["q16_principal_share"] = f"""SELECT s AS seller_commission, b AS buyer_commission,
 seller_percentage, buyer_percentage FROM ({BODIES["q16_principal_share"]})"""
 
+TEXT_DATES = """FROM (SELECT * REPLACE (TRY_CAST(CASE WHEN operation_id LIKE '%1' THEN '31/31/2025'
+ELSE strftime(registered_on, '%Y-%m-%d') END AS DATE) AS registered_on) FROM f) f"""
+for _name in ("q08_churn_risk", "q09_churn_at_risk", "q43_by_weekday", "q44_weekday_labels"):
+    BODIES[f"{_name}_text_dates"] = BODIES[_name].replace("FROM f", TEXT_DATES)
+FRACTIONAL = """FROM (SELECT * REPLACE (pct_ref_sale / 7 AS pct_ref_sale,
+pct_ref_purchase / 7 AS pct_ref_purchase) FROM f) f"""
+BODIES["q04_referrers_fractional"] = REFERRERS.replace("FROM f", FRACTIONAL)
+
 
 def build(names: Iterable[str]) -> dict[str, str]:
     """The statement of each named query that has one."""

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from lonja.labels import SPANISH
 from lonja.operators.filters import OpsFilter
@@ -294,3 +295,35 @@ def test_sizes(make_ops):
     assert found == [("Small", 1), ("Medium", 1), ("Large", 1), ("Very large", 2)]
     few = rows(risk.size_distribution(make_ops({}), labels=SPANISH))
     assert [r["size_band"] for r in few] == [SPANISH.bands[0]]
+
+
+def test_running_totals_agree_with_the_totals_for_any_value(make_ops):
+    def listed(*values):
+        ops = make_ops(*[{"client_name": f"c{i}", "commission": v} for i, v in enumerate(values)])
+        rows = risk.pareto(ops).collect()
+        tops = {r.client_name: r.commission for r in performance.top_clients(ops).collect()}
+        assert all(repr(r.commission) == repr(tops[r.client_name]) for r in rows)
+        assert strategy.client_segments(ops).count() > 0
+        return [r.cumulative_commission for r in rows]
+
+    assert listed(1e300, 2.5) == [1e300, 1e300]
+    assert listed(float("inf"), 1.0) == [float("inf"), float("inf")]
+    assert [repr(v) for v in listed(float("nan"), 1.0)] == ["nan", "nan"]
+
+
+def test_operations_are_not_shuffled_for_their_products_rate(make_ops):
+    ops = make_ops({"product": "a"}, {"product": "b", "commission": 1.0}, {"product": "b"})
+    plan = risk.pricing_anomalies(ops)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_dates_that_are_text(make_ops):
+    day = dt.timedelta(days=1)
+    ops = make_ops(
+        {"client_name": "old", "registered_on": AS_OF - 90 * day},
+        {"client_name": "bad", "registered_on": AS_OF - 90 * day},
+    )
+    bad = F.when(F.col("client_name") == "bad", "31/31/2025")
+    ops = ops.withColumn("registered_on", bad.otherwise(F.col("registered_on").cast("string")))
+    assert [r.client_name for r in strategy.churn_risk(ops, as_of=AS_OF).collect()] == ["old"]
+    assert [r.operations for r in operations.by_weekday(ops).collect()] == [1, 1]
