@@ -13,9 +13,10 @@ from lonja.schema import SOURCE_COLUMNS
 DELIMITERS = (",", ";", "\t", "|")
 FALLBACK_ENCODING = "ISO-8859-1"
 
-# Rewritten to year-month-day: day first, and two-digit years in this century.
+# Rewritten to year-month-day: day first, and two-digit years from 1969 to 2068.
 DATE_SHAPES = (
     (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(?!\d)", "$3-$2-$1"),
+    (r"^(\d{1,2})[-/.](\d{1,2})[-/.](69|[7-9]\d)(?!\d)", "19$3-$2-$1"),
     (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{2})(?!\d)", "20$3-$2-$1"),
     (r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})(?!\d)", "$1-$2-$3"),
 )

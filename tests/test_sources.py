@@ -79,6 +79,8 @@ def test_line_breaks_inside_quotes(spark, tmp_path):
         ("2025-01-02T10:00:01", (2025, 1, 2, 10, 0, 1)),
         ("2025/1/2", (2025, 1, 2, 0, 0, 0)),
         ("02/03/25", (2025, 3, 2, 0, 0, 0)),
+        ("02/03/95", (1995, 3, 2, 0, 0, 0)),
+        ("02/03/68", (2068, 3, 2, 0, 0, 0)),
         ("01/31/2025", None),
         ("31/31/2025", None),
         ("2025-01-02 junk", None),
