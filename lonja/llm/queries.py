@@ -126,9 +126,9 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+def _cut_spans(found: DataFrame) -> DataFrame:
     spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["stop"]))
-    return unit_dedup.remove_repeated_units(_documents(spark, folder)).select(
+    return found.select(
         "doc_id",
         "n_units",
         F.size("removed").cast("long").alias("n_removed"),
@@ -137,6 +137,14 @@ def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return _cut_spans(unit_dedup.remove_repeated_units(_documents(spark, folder)))
+
+
+def op8_passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return _cut_spans(unit_dedup.remove_repeated_passages(_documents(spark, folder)))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_documents(spark, folder)).select(
         "doc_id",
@@ -170,6 +178,7 @@ QUERIES = {
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op8_substring_dedup": op8_substring_dedup,
+    "op8_passage_dedup": op8_passage_dedup,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_pii": op10_pii,
 }

@@ -113,6 +113,24 @@ def test_unit_dedup(spark):
     assert unit_dedup.remove_repeated_units(empty(spark)).count() == 0
 
 
+def test_repeated_passages_of_short_sentences(spark):
+    passage = " ".join(f"One{n} two{n} three{n} four{n} five{n}." for n in range(12))
+    lines = "\n\n".join(f"line {n} is short" for n in range(9))
+    once = "It runs."
+    rows = [
+        (1, f"Ab. {passage} Cd."), (2, f"Ef.\n{passage}\nGh."), (3, f"{passage.upper()} Ij"), (4, f"Kl.\n{lines}"),
+        (5, f"{lines}\nMn."), (6, " ".join([once] * 20)), (7, f"Short. Own{once}"), *ODD,
+    ]
+    df = spark.createDataFrame(rows, COLUMNS)
+    found = {r["doc_id"]: r for r in unit_dedup.remove_repeated_passages(df).collect()}
+    for doc in (1, 4, 7):
+        assert (found[doc]["kept"], found[doc]["removed"]) == (dict(rows)[doc], [])
+    assert found[2]["kept"] == "Ef.\nGh." and [tuple(s) for s in found[2]["removed"]] == [(4, 5 + len(passage))]
+    assert found[3]["kept"] == "Ij" and found[5]["kept"] == "Mn."
+    assert found[6]["kept"].startswith(" ".join([once] * 6)) and len(found[6]["kept"]) < 9 * 9
+    assert found[90]["kept"] == "" and unit_dedup.remove_repeated_passages(empty(spark)).count() == 0
+
+
 def test_decontamination(spark, monkeypatch):
     item = " ".join(f"q{n}" for n in range(15))
     docs = [(1, f"a b {item.upper()} c"), (2, " ".join(["x"] * 400) + f" {item}"), (3, "two words"), (4, item[:20])]
