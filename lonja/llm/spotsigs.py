@@ -2,9 +2,11 @@
 
 Every common word of a text is an anchor; its signature is the anchor with the ``CHAIN`` content
 words that follow it (words are letters and digits of any script, lowered). Boilerplate without
-running text has few anchors, so signatures stand for what a document says. A text without any
-common word takes every word as the start of a chain, so that texts of other languages and lists
-have fingerprints too. The set of signature hashes is the fingerprint.
+running text has few anchors, so signatures stand for what a document says. Where no anchor stands
+before a word or the ``REACH`` - 1 content words ahead of it, the word starts a chain of its own
+without an anchor, so that lists, tables and texts of other languages have fingerprints too. That
+depends on the words nearby only: what two texts share gives the same signatures in both, whatever
+common words stand elsewhere. The set of signature hashes is the fingerprint.
 
 ``near_duplicates`` compares sets: they are partitioned by length, a set meets only partitions
 within the threshold's reach, there only sets that share one of its rarest signatures, and the
@@ -26,6 +28,7 @@ from lonja.llm.common_words import COMMON_WORDS
 from lonja.runtime import stage
 
 CHAIN = 2
+REACH = 4
 THRESHOLD = 0.75
 _GLUE = "\x01"
 _WORDS = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
@@ -53,26 +56,37 @@ def _content(unit: Column) -> Column:
     return F.substring_index(unit, _GLUE, -1)
 
 
-def _signatures(units: Column) -> Column:
-    """The sorted distinct signatures of glued words."""
+def _signatures(units: Column, anchors: Column) -> Column:
+    """The sorted distinct signatures of glued words; ``anchors`` tells which have an anchor."""
     following = [F.slice(units, 1 + n, F.greatest(F.size(units) - n, F.lit(0))) for n in range(1, CHAIN)]
-    rows = F.arrays_zip(units.alias("c0"), *(f.alias(f"c{n + 1}") for n, f in enumerate(following)))
+    rows = F.arrays_zip(
+        units.alias("c0"),
+        *(f.alias(f"c{n + 1}") for n, f in enumerate(following)),
+        *(F.slice(F.concat(F.array_repeat(F.lit(False), n), anchors), 1, F.size(units)).alias(f"a{n}") for n in range(REACH)),
+    )
 
     def chain(row: Column, anchor: Column) -> Column:
         return F.hash(anchor, *(_content(row[f"c{n}"]) for n in range(CHAIN)))
 
-    def anchored(row: Column) -> Column:
+    def chains(row: Column) -> Column:
         parts = F.split(row["c0"], _GLUE)
-        return F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda anchor: chain(row, anchor))
+        anchored = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda anchor: chain(row, anchor))
+        return F.when(row["a0"], anchored).otherwise(F.array(chain(row, F.lit(""))))
+
+    def starts(row: Column) -> Column:
+        covered = row["a1"]
+        for n in range(2, REACH):
+            covered = covered | row[f"a{n}"]
+        return row["a0"] | ~covered
 
-    spots = F.flatten(F.transform(F.filter(rows, lambda r: F.instr(r["c0"], _GLUE) > 0), anchored))
-    plain = F.transform(rows, lambda r: chain(r, F.lit("")))
-    return F.array_sort(F.array_distinct(F.when(F.size(spots) > 0, spots).otherwise(plain)))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(rows, starts), chains))))
 
 
 def with_signatures(df: DataFrame, text: str, signatures: str) -> DataFrame:
     """Add the signatures of a text column."""
-    return df.withColumn("_units", _units(F.col(text))).withColumn(signatures, _signatures(F.col("_units"))).drop("_units")
+    df = df.withColumn("_units", _units(F.col(text)))
+    df = df.withColumn("_anchors", F.transform("_units", lambda u: F.instr(u, _GLUE) > 0))
+    return df.withColumn(signatures, _signatures(F.col("_units"), F.col("_anchors"))).drop("_units", "_anchors")
 
 
 def fingerprint(signatures: Column) -> Column:

@@ -215,6 +215,21 @@ def test_spotsigs(spark):
     assert spotsigs.fingerprints(empty(spark)).count() == 0
 
 
+def test_spotsigs_do_not_depend_on_a_distant_common_word(spark):
+    head, tail, other = (" ".join(f"{c}{n}x" for n in range(40)) for c in "kqz")
+    anchored = [f"{head} {tail}", f"{head} the {tail}", f"{head} the {tail} of {other}"]
+    edited = [f"{head} {other}", f"{head} {other}", f"{head} the {tail}"]
+    rows = [(n, text) for n, text in enumerate(anchored + edited)]
+    signed = spotsigs.with_signatures(spark.createDataFrame(rows, COLUMNS), "text", "signatures")
+    found = {r["doc_id"]: set(r["signatures"]) for r in signed.collect()}
+    for n in range(3):
+        assert len(found[n]) > 60
+        assert len(found[n] & found[n + 3]) >= 38
+    shared = found[0] & found[1]
+    assert len(shared) >= len(found[0]) - 2 * spotsigs.REACH
+    assert len(found[1] - found[0]) <= 2
+
+
 def test_language(spark):
     draw = random.Random(3)
     parts = {"aa": ["bla", "kro", "mip"], "bb": ["zun", "vex", "qor"]}
