@@ -294,10 +294,15 @@ def _other_pairs(firsts: DataFrame, component: DataFrame) -> DataFrame:
         & ((F.col("component") == F.col("largest")) | (F.col("doc_id") < F.col("other_id")))
         & _within_reach(n, m, F.col("place"), F.col("other"))
     )
+    # a pair of sets is judged by its own sizes: ids may hold several, and either may come first
+    ordered = F.col("doc_id") < F.col("other_id")
     counted = met.groupBy(
-        F.least("doc_id", "other_id").alias("a"), F.greatest("doc_id", "other_id").alias("b")
-    ).agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"), F.max("m").alias("m"))
-    return counted.where(F.col("shared") >= _least_shared(n, m)).select("a", "b")
+        F.least("doc_id", "other_id").alias("a"),
+        F.greatest("doc_id", "other_id").alias("b"),
+        F.when(ordered, n).otherwise(m).alias("n"),
+        F.when(ordered, m).otherwise(n).alias("m"),
+    ).agg(F.count(F.lit(1)).alias("shared"))
+    return counted.where(F.col("shared") >= _least_shared(n, m)).select("a", "b").distinct()
 
 
 def _least_shared(n: Column, m: Column) -> Column:
