@@ -5,7 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from lonja.runtime import drop_staged, stage
+from lonja.runtime import drop_staged, release, releases_staged, stage
 from lonja.schema import OPERATIONS_SCHEMA
 from lonja.sources import store
 from lonja.sources.csv_files import (
@@ -192,3 +192,51 @@ def test_staged_tables(spark):
     assert staged.agg(F.sum("x")).first()[0] == 10
     drop_staged(spark)
     assert not os.path.exists(f"{folder}/lonja-{spark.sparkContext.applicationId}")
+
+
+def staged_names(spark):
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/lonja-{spark.sparkContext.applicationId}"
+    names = os.listdir(folder) if os.path.exists(folder) else []
+    return sorted(name.split("-")[0] for name in names)
+
+
+def test_staged_tables_live_as_long_as_the_result_reads_them(spark):
+    drop_staged(spark)
+
+    @releases_staged
+    def inner(n):
+        numbers = stage(spark.range(n), "replaced")
+        return stage(numbers.select((F.col("id") + 1).alias("id")), "inner").where("id > 1")
+
+    @releases_staged
+    def outer():
+        left, right = inner(5), stage(spark.range(3), "outer")
+        largest = stage(spark.range(4).toDF("v"), "subquery")
+        return left.join(right, "id").withColumn("largest", largest.agg(F.max("v")).scalar())
+
+    result = outer()
+    assert staged_names(spark) == ["inner", "outer", "subquery"]
+    assert [tuple(r) for r in result.collect()] == [(2, 3)]
+    release(result)
+    assert staged_names(spark) == []
+
+
+def test_an_operator_that_fails_leaves_no_staged_table(spark):
+    drop_staged(spark)
+    kept = stage(spark.range(3), "kept")
+
+    @releases_staged
+    def fails():
+        stage(kept, "lost")
+        raise ValueError
+
+    @releases_staged
+    def counts():
+        return stage(kept, "counted").count()
+
+    with pytest.raises(ValueError):
+        fails()
+    assert counts() == 3
+    assert staged_names(spark) == ["kept"]
+    release(kept)
+    assert staged_names(spark) == []
