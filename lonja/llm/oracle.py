@@ -64,8 +64,71 @@ coalesce(string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(s
 sha256(coalesce(string_agg(u, '' ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id GROUP BY d.doc_id"""
 
+
+def _integers(scale: int) -> str:
+    return f"""list_transform(embedding, lambda v: floor({scale} * CAST(v AS DOUBLE)))"""
+
+
+_USABLE = "coalesce(list_bool_and(list_transform(embedding, lambda v: coalesce(isfinite(CAST(v AS DOUBLE)), false))), true)"
+_SQUARED = "list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+def _nearest(vectors: str, centroids: str) -> str:
+    """Each vector's nearest centroid (ties: the smaller number) and squared distance."""
+    near = _SQUARED.format("v.x", "c.c")
+    return f"""SELECT r, min(q) AS q FROM (SELECT v.r, struct_pack(d := {near}, j := c.j) AS q FROM {vectors} v, {centroids} c) GROUP BY r"""
+
+
+def clustering(k: int = 16, rounds: int = 3) -> str:
+    steps = []
+    for n in range(rounds):
+        steps.append(f"""a{n} AS MATERIALIZED ({_nearest("v", f"c{n}")}),
+m{n} AS (SELECT j, list(m ORDER BY i) AS c FROM (SELECT a.q.j AS j, i, floor(sum(v.x[i]) / count(*)) AS m
+  FROM a{n} a JOIN v USING (r), unnest(range(1, 65)) AS t(i) GROUP BY ALL) GROUP BY j),
+c{n + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.c, c.c) AS c FROM c{n} c LEFT JOIN m{n} m USING (j))""")
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, {_integers(64)} AS x FROM embeddings
+  WHERE len(embedding) = 64 AND {_USABLE}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, x) - 1 AS j, x AS c FROM
+  (SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, x FROM v ORDER BY h NULLS LAST, x LIMIT {k})),
+{", ".join(steps)},
+f AS (SELECT vec_id, a.q.j AS j, CAST(a.q.d AS BIGINT) AS d FROM ({_nearest("v", f"c{rounds}")}) a JOIN v USING (r))
+SELECT vec_id, CAST(f.j AS INTEGER) AS cluster, d AS distance,
+CAST(sum(d) OVER (PARTITION BY f.j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+sha256(array_to_string(CAST(c.c AS BIGINT[]), ',')) AS centroid_sha256 FROM f JOIN c{rounds} c USING (j)"""
+
+
+def vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4, dims: int = 64) -> str:
+    width = dims // parts
+    # |x - c|^2 as |x|^2 + (|c|^2 - 2 x.c): whole numbers below 2^53, so doubles are exact
+    def near(n: int | str) -> str:
+        far = "list_inner_product(p.x, p.x) + c.s - 2 * list_inner_product(p.x, c.c)"
+        return f"""SELECT r, p, min(q) AS q FROM (SELECT p.r, p.p, struct_pack(d := {far}, j := c.j) AS q
+  FROM p JOIN c{n} c USING (p)) GROUP BY r, p"""
+
+    steps = []
+    for n in range(rounds):
+        steps.append(f"""a{n} AS MATERIALIZED ({near(n)}),
+m{n} AS (SELECT p, j, list(m ORDER BY i) AS c FROM (SELECT p.p, a.q.j AS j, i, floor(sum(p.x[i]) / count(*)) AS m
+  FROM a{n} a JOIN p ON a.r = p.r AND a.p = p.p, unnest(range(1, {width + 1})) AS t(i) GROUP BY ALL) GROUP BY p, j),
+c{n + 1} AS MATERIALIZED (SELECT p, j, c, list_inner_product(c, c) AS s FROM
+  (SELECT c.p, c.j, coalesce(m.c, c.c) AS c FROM c{n} c LEFT JOIN m{n} m ON c.p = m.p AND c.j = m.j))""")
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, {_integers(1024)} AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND {_USABLE}),
+p AS MATERIALIZED (SELECT r, p, x[p * {width} + 1:p * {width} + {width}] AS x FROM v, unnest(range(0, {parts})) AS t(p)),
+k AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS j, r FROM v QUALIFY j < {entries}),
+c0 AS MATERIALIZED (SELECT p.p, k.j, p.x AS c, list_inner_product(p.x, p.x) AS s FROM k JOIN p USING (r)),
+{", ".join(steps)},
+f AS (SELECT r, string_agg(lower(printf('%02x', q.j)), '' ORDER BY p) AS code, CAST(sum(q.d) AS BIGINT) AS error
+  FROM ({near(rounds)}) GROUP BY r),
+b AS (SELECT sha256(string_agg(array_to_string(CAST(c AS BIGINT[]), ','), ',' ORDER BY p, j)) AS h FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+(SELECT h FROM b) AS codebooks_sha256 FROM f JOIN v USING (r)"""
+
+
 SQL = {
     "op4_decontamination": decontamination(),
     "op5_line_dedup": line_dedup(),
     "op8_substring_dedup": SUBSTRING_DEDUP,
+    "op11_centroid_clustering": clustering(),
+    "op12_vector_codes": vector_codes(),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lonja.llm import (
     bpe,
+    clustering,
     decontamination,
     jaccard_join,
     language,
@@ -16,6 +17,7 @@ from lonja.llm import (
     suffix_dedup,
     toxicity,
     unit_dedup,
+    vector_codes,
 )
 
 
@@ -169,6 +171,18 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, _sha256(written(base)).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+def op11_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.cluster(_table(spark, folder, "embeddings")).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", _sha256(F.col("centroid")).alias("centroid_sha256")
+    )
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, folder, "embeddings")).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256"
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_spotsigs": op2_spotsigs,
@@ -181,4 +195,6 @@ QUERIES = {
     "op8_passage_dedup": op8_passage_dedup,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_pii": op10_pii,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_vector_codes": op12_vector_codes,
 }
