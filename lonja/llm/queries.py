@@ -13,6 +13,7 @@ from lonja.llm import (
     language,
     line_dedup,
     pii,
+    secrets,
     spotsigs,
     suffix_dedup,
     toxicity,
@@ -183,6 +184,21 @@ def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """The counts are of base spans; spans that the randomness tests add are of a kind of their own."""
+    found = secrets.secrets(_documents(spark, folder))
+
+    def written(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def counted(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [counted(kind) for kind in secrets.KINDS[:3]]
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select("doc_id", *counts, _sha256(written(base)).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_spotsigs": op2_spotsigs,
@@ -197,4 +213,5 @@ QUERIES = {
     "op10_pii": op10_pii,
     "op11_centroid_clustering": op11_centroid_clustering,
     "op12_vector_codes": op12_vector_codes,
+    "op13_secret_scans": op13_secret_scans,
 }

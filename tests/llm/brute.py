@@ -76,3 +76,68 @@ def base_spans(text: str | None) -> str:
     for rank, (kind, (pattern, check)) in enumerate(kinds.items()):
         found += [(m.start(), rank, m.end(), kind) for m in re.finditer(pattern, text or "") if check(m.group())]
     return ",".join(f"{kind}:{start}:{end}" for start, _, end, kind in sorted(found))
+
+
+def clusters(vectors: dict[int, list[float]], k: int = 16, rounds: int = 3) -> dict[int, tuple[int, int, list[int]]]:
+    """vec_id -> cluster, squared distance, final centroid; every distance evaluated."""
+    import hashlib
+    import math
+
+    x = {i: [math.floor(64 * float(c)) for c in v] for i, v in vectors.items()}
+    first = sorted(x, key=lambda i: hashlib.sha256(f"1:{i}".encode()).hexdigest())[:k]
+    centroids = [list(x[i]) for i in first]
+
+    def nearest() -> dict[int, tuple[int, int]]:
+        return {i: min((sum((a - b) ** 2 for a, b in zip(v, c)), j) for j, c in enumerate(centroids)) for i, v in x.items()}
+
+    for _ in range(rounds):
+        found = nearest()
+        for j in range(len(centroids)):
+            mine = [x[i] for i, (_, own) in found.items() if own == j]
+            if mine:
+                centroids[j] = [sum(column) // len(mine) for column in zip(*mine)]
+    return {i: (j, d, centroids[j]) for i, (d, j) in nearest().items()}
+
+
+def vector_codes(vectors: dict[int, list[float]], parts: int, entries: int, rounds: int) -> tuple[dict[int, tuple[str, int]], str]:
+    """vec_id -> code in hex, squared error; and the checksum of the codebooks."""
+    import hashlib
+    import math
+
+    x = {i: [math.floor(1024 * float(c)) for c in v] for i, v in vectors.items()}
+    width = len(next(iter(x.values()))) // parts
+    cut = {i: [v[p * width : (p + 1) * width] for p in range(parts)] for i, v in x.items()}
+    books = [[list(cut[i][p]) for i in sorted(cut)[:entries]] for p in range(parts)]
+
+    def nearest(part: list[int], book: list[list[int]]) -> tuple[int, int]:
+        return min((sum((a - b) ** 2 for a, b in zip(part, entry)), j) for j, entry in enumerate(book))
+
+    for _ in range(rounds):
+        for p, book in enumerate(books):
+            held: dict[int, list] = {}
+            for own in cut.values():
+                held.setdefault(nearest(own[p], book)[1], []).append(own[p])
+            books[p] = [[sum(c) // len(held[j]) for c in zip(*held[j])] if j in held else entry for j, entry in enumerate(book)]
+    found = {}
+    for i, own in cut.items():
+        pairs = [nearest(part, book) for part, book in zip(own, books)]
+        found[i] = ("".join(f"{j:02x}" for _, j in pairs), sum(d for d, _ in pairs))
+    written = ",".join(str(c) for book in books for entry in book for c in entry)
+    return found, hashlib.sha256(written.encode()).hexdigest()
+
+
+def base_secrets(text: str | None) -> str:
+    """Base secrets, written as kind:start:end."""
+    import re
+
+    keys = "password|passwd|secret|token|api_?key"
+    either = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in keys)
+    kinds = {
+        "assign": (rf"""({either})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m.group(2)) >= 6),
+        "access": (r"AKIA[A-Z0-9]+", lambda m: len(m.group()) >= 20),
+        "hex": (r"[0-9a-f]+", lambda m: len(m.group()) >= 24),
+    }
+    found = []
+    for rank, (kind, (pattern, check)) in enumerate(kinds.items()):
+        found += [(m.start(), rank, m.end(), kind) for m in re.finditer(pattern, text or "") if check(m)]
+    return ",".join(f"{kind}:{start}:{end}" for start, _, end, kind in sorted(found))
