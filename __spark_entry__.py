@@ -50,7 +50,7 @@ _stored: dict[tuple[str, str], DataFrame] = {}
 def store_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the operations table once; queries of this application then read it."""
     folder = _scratch(spark, "operations")
-    table = store.create_operations(driver_tables.operations(spark, sf_dir), folder)
+    table = store.create_operations(driver_tables.operations(spark, sf_dir), folder, buckets=8).rows()
     _stored[spark.sparkContext.applicationId, sf_dir] = table
     return table
 
@@ -321,17 +321,32 @@ def _upsert_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _create(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = _operations(spark, sf_dir, _ALL)
-    return store.create_operations(ops, _scratch(spark, "table"), ("year",)).select(*_ALL)
+    return store.create_operations(ops, _scratch(spark, "table"), ("year",), buckets=4).rows()
 
 
 def _published_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The upsert written over the very table that it reads."""
+    """The upsert written into the very table that it reads, in place."""
     folder = _scratch(spark, "table")
-    table = store.create_operations(_operations(spark, sf_dir, _ALL), folder)
-    store.publish(upsert.upsert(table, _batch(table)), folder)
+    table = store.create_operations(_operations(spark, sf_dir, _ALL), folder, ("year",), buckets=4)
+    upsert.upsert_table(table, _batch(table.rows()))
     return store.read_table(spark, folder)
 
 
+def _published_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as a whole new version."""
+    folder = _scratch(spark, "table")
+    table = store.create_operations(_operations(spark, sf_dir, _ALL), folder, ("year",), buckets=4)
+    store.publish(upsert.upsert(table.rows(), _batch(table.rows())), table)
+    return store.read_table(spark, folder)
+
+
+def _stored_upsert_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an upload would change in a stored table, from the buckets that its keys fall into."""
+    ops = _operations(spark, sf_dir, _ALL)
+    table = store.create_operations(ops, _scratch(spark, "table"), buckets=8)
+    return upsert.upsert_table_summary(table, _batch(ops))
+
+
 def _preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = _operations(spark, sf_dir, _ALL)
     return csv_files.preview(ops.orderBy(*_ALL))
@@ -349,7 +364,9 @@ _MAINTENANCE = {
     "s09_coerce_dates": _dates_from_text,
     "s10_upsert": _upsert,
     "s11_published_upsert": _published_upsert,
+    "s11_published_whole": _published_whole,
     "s12_upsert_summary": _upsert_summary,
+    "s12_stored_upsert_summary": _stored_upsert_summary,
     "s13_preview": _preview,
     "s15_snapshot": _snapshot,
 }

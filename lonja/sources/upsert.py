@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lonja.runtime import releases_staged, stage
 from lonja.sources.csv_files import coerce_dates
+from lonja.sources.store import NO_KEY, StoredTable
 
 
-def _fitted(target: DataFrame, incoming: DataFrame) -> DataFrame:
+def _fitted(schema: T.StructType, incoming: DataFrame) -> DataFrame:
     """The incoming columns that the table has, with the table's types."""
-    known = [name for name in incoming.columns if name in target.columns]
+    types = {field.name: field.dataType for field in schema}
+    known = [name for name in incoming.columns if name in types]
     if not known:
         raise ValueError("no column of the upload is in the table")
-    types = {field.name: field.dataType for field in target.schema}
-    dated = coerce_dates(incoming.select(*[F.col(f"`{name}`") for name in known]), target.schema)
+    dated = coerce_dates(incoming.select(*[F.col(f"`{name}`") for name in known]), schema)
     return dated.select(*[F.col(f"`{name}`").cast(types[name]).alias(name) for name in known])
 
 
@@ -28,7 +31,7 @@ def upsert(target: DataFrame, incoming: DataFrame, key: str = "operation_id") ->
     Columns the upload lacks are NULL and columns the table lacks are ignored. Repeated
     incoming keys all stay; NULL keys match nothing; without the key column all is appended.
     """
-    fresh = _fitted(target, incoming)
+    fresh = _fitted(target.schema, incoming)
     kept = target
     if key in fresh.columns:
         # rows without a key skip the join, where they would all fall in one partition
@@ -39,19 +42,62 @@ def upsert(target: DataFrame, incoming: DataFrame, key: str = "operation_id") ->
     return kept.select(*target.columns).unionByName(fresh, allowMissingColumns=True)
 
 
+def _hit_buckets(table: StoredTable, fresh: DataFrame) -> list[int]:
+    """The buckets that the incoming keys fall into."""
+    keyed = fresh.where(F.col(table.key).isNotNull())
+    return sorted(row["bucket"] for row in keyed.select(table.bucket().alias("bucket")).distinct().collect())
+
+
+@releases_staged
+def upsert_table(table: StoredTable, incoming: DataFrame) -> StoredTable:
+    """The next version of a stored table: ``upsert`` by the table's key, in place.
+
+    Reads and writes only the buckets that the incoming keys fall into; all other files stay as
+    they are, and rows without a key are added beside those that are there. Nothing changes if the
+    upload cannot be read or another writer was faster (``StaleTable``).
+    """
+    # read once: the batch decides which buckets are read, and is joined and written
+    fresh = stage(_fitted(table.schema, incoming), "upload")
+    parts = dict(table.parts)
+    added = table.spark.createDataFrame([], table.schema).unionByName(fresh, allowMissingColumns=True)
+    if table.key is not None and table.key in fresh.columns:
+        hit = _hit_buckets(table, fresh)
+        kept = table.rows(hit).join(_keys(fresh, table.key), table.key, "left_anti")
+        added = kept.select(*added.columns).unionByName(added)
+        parts = {bucket: paths for bucket, paths in parts.items() if bucket not in hit}
+    written = table.write(added)
+    for bucket, path in written.items():
+        parts[bucket] = (*parts.get(bucket, ()), path) if bucket == NO_KEY else (path,)
+    return table.succeed(written, parts)
+
+
 def upsert_summary(target: DataFrame, incoming: DataFrame, key: str = "operation_id") -> DataFrame:
-    """Rows that arrive, table rows they replace, and arriving rows whose key is new."""
-    fresh = _fitted(target, incoming)
+    """Rows that arrive, table rows they replace, and arriving rows whose key is new.
+
+    One pass over the table: of its rows only those whose key arrives are counted.
+    """
+    fresh = _fitted(target.schema, incoming)
     counted = F.count(F.lit(1))
-    arriving = fresh.agg(counted).scalar()
-    if key in fresh.columns:
-        replaced = target.join(_keys(fresh, key), key, "left_semi").agg(counted).scalar()
-        matched = fresh.join(_keys(target, key), key, "left_semi").agg(counted).scalar()
-    else:
-        replaced = matched = F.lit(0).cast("bigint")
-    one_row = target.sparkSession.range(1)
-    return one_row.select(
-        arriving.alias("incoming_rows"),
-        replaced.alias("replaced_rows"),
-        (arriving - matched).alias("inserted_rows"),
+    if key not in fresh.columns:
+        none = F.lit(0).cast("bigint")
+        return fresh.agg(counted.alias("incoming_rows")).select(
+            "incoming_rows", none.alias("replaced_rows"), F.col("incoming_rows").alias("inserted_rows")
+        )
+    arriving = fresh.groupBy(key).agg(counted.alias("arriving"))
+    held = target.select(key).join(_keys(fresh, key), key, "left_semi")
+    held = held.groupBy(key).agg(counted.alias("held"))
+    both = arriving.join(held, key, "left")
+    none = F.lit(0).cast("bigint")
+    return both.agg(
+        F.coalesce(F.sum("arriving"), none).alias("incoming_rows"),
+        F.coalesce(F.sum("held"), none).alias("replaced_rows"),
+        F.coalesce(F.sum(F.when(F.col("held").isNull(), F.col("arriving"))), none).alias("inserted_rows"),
     )
+
+
+def upsert_table_summary(table: StoredTable, incoming: DataFrame) -> DataFrame:
+    """``upsert_summary`` of a stored table, from the buckets that the incoming keys fall into."""
+    fresh = _fitted(table.schema, incoming)
+    if table.key is None or table.key not in fresh.columns:
+        return upsert_summary(table.rows([]), incoming, table.key or "")
+    return upsert_summary(table.rows(_hit_buckets(table, fresh)), incoming, table.key)

@@ -288,6 +288,11 @@ WHERE NOT EXISTS (SELECT 1 FROM {BATCH} b WHERE b.operation_id = ops.operation_i
 UNION ALL BY NAME
 SELECT operation_id, client_name, commission, operation_type, registered_on FROM {BATCH} n"""
 
+SUMMARY = f"""SELECT (SELECT COUNT(*) FROM {BATCH} a) AS incoming_rows,
+(SELECT COUNT(*) FROM ops WHERE operation_id IN (SELECT operation_id FROM {BATCH} b)) AS replaced_rows,
+(SELECT COUNT(*) FROM {BATCH} c
+ WHERE operation_id NOT IN (SELECT operation_id FROM ops)) AS inserted_rows"""
+
 EVERYTHING = f"SELECT {COLUMNS} FROM ops"
 
 # Bodies that read ``ops``, the whole table, and ``f``, the table under the filter if any.
@@ -298,10 +303,9 @@ BODIES = {
 CASE WHEN operation_type IN ('RSG', 'REX') THEN registered_on END AS registered_on FROM ops""",
     "s10_upsert": UPSERTED,
     "s11_published_upsert": UPSERTED,
-    "s12_upsert_summary": f"""SELECT (SELECT COUNT(*) FROM {BATCH} a) AS incoming_rows,
-(SELECT COUNT(*) FROM ops WHERE operation_id IN (SELECT operation_id FROM {BATCH} b)) AS replaced_rows,
-(SELECT COUNT(*) FROM {BATCH} c
- WHERE operation_id NOT IN (SELECT operation_id FROM ops)) AS inserted_rows""",
+    "s11_published_whole": UPSERTED,
+    "s12_upsert_summary": SUMMARY,
+    "s12_stored_upsert_summary": SUMMARY,
     "s13_preview": f"SELECT {COLUMNS} FROM ops ORDER BY operation_id LIMIT 5",
     "s15_snapshot": EVERYTHING,
     "f03_list_months": "SELECT DISTINCT month_name FROM f WHERE month_name IS NOT NULL",

@@ -17,7 +17,7 @@ from lonja.sources.csv_files import (
     trim_columns,
     write_template,
 )
-from lonja.sources.upsert import upsert, upsert_summary
+from lonja.sources.upsert import upsert, upsert_summary, upsert_table, upsert_table_summary
 
 
 def write(path, text, encoding="utf-8"):
@@ -158,20 +158,135 @@ def test_upsert_reads_dates_day_first_and_rejects_bad_numbers(spark, make_ops):
         upsert(table, upload(spark, ("a", "ten", "x"))).collect()
 
 
+def files_of(df):
+    return {name.split("/data/")[1] for name in df.inputFiles()}
+
+
 def test_publish_replaces_whole_versions(spark, make_ops, tmp_path):
     folder = str(tmp_path / "table")
     table = store.create_operations(make_ops({"operation_id": "a"}), folder, ["year"])
-    first = store.current_version(spark, folder)
-    merged = upsert(table, upload(spark, ("a", "1", "x"), ("n", "2", "x")))
-    store.publish(merged, folder)
+    merged = upsert(table.rows(), upload(spark, ("a", "1", "x"), ("n", "2", "x")))
+    following = store.publish(merged, table)
     assert keyed(store.read_table(spark, folder)) == [("a", 1.0), ("n", 2.0)]
-    assert store.current_version(spark, folder) != first
+    assert (table.version, following.version, store.current_version(spark, folder)) == (1, 2, 2)
+    assert following.partition_by == ("year",)
+    assert all("/_by_year=" in name for name in files_of(following.rows()))
     # a reader of the version before still has its files
-    assert keyed(table) == [("a", 10.0)]
+    assert keyed(table.rows()) == [("a", 10.0)]
+    assert keyed(store.open_table(spark, folder, 1).rows()) == [("a", 10.0)]
+
+
+def test_a_failed_write_leaves_the_table_and_no_files(spark, make_ops, tmp_path):
+    folder = str(tmp_path / "table")
+    table = store.create_operations(make_ops({"operation_id": "a"}), folder)
+    before = sorted(os.listdir(f"{folder}/data"))
+    bad = upload(spark, ("a", "ten", "x"))
     with pytest.raises(PySparkException):
-        bad = upload(spark, ("a", "ten", "x"))
-        store.publish(upsert(store.read_table(spark, folder), bad), folder)
-    assert keyed(store.read_table(spark, folder)) == [("a", 1.0), ("n", 2.0)]
+        store.publish(upsert(table.rows(), bad), table)
+    with pytest.raises(PySparkException):
+        upsert_table(table, bad)
+    with pytest.raises(ValueError):
+        store.publish(table.rows().drop("year"), table)
+    assert keyed(store.read_table(spark, folder)) == [("a", 10.0)]
+    assert sorted(os.listdir(f"{folder}/data")) == before
+    assert [n for n in os.listdir(f"{folder}/versions") if not n.endswith(".crc")] == ["v00000001.json"]
+
+
+def test_the_second_of_two_writers_gets_an_error(spark, make_ops, tmp_path):
+    folder = str(tmp_path / "table")
+    table = store.create_operations(make_ops({"operation_id": "a"}, {"operation_id": "b"}), folder)
+    one, two = upload(spark, ("a", "1", "x")), upload(spark, ("b", "2", "x"))
+    following = upsert_table(table, one)
+    written = sorted(os.listdir(f"{folder}/data"))
+    for write in (lambda: upsert_table(table, two), lambda: store.publish(upsert(table.rows(), two), table)):
+        with pytest.raises(store.StaleTable):
+            write()
+    assert sorted(os.listdir(f"{folder}/data")) == written
+    assert keyed(store.read_table(spark, folder)) == [("a", 1.0), ("b", 10.0)]
+    upsert_table(following, two)
+    assert keyed(store.read_table(spark, folder)) == [("a", 1.0), ("b", 2.0)]
+
+
+def test_upsert_in_place_leaves_other_files_alone(spark, make_ops, tmp_path):
+    rows = [{"operation_id": f"id{n}", "year": 2024 + n % 2} for n in range(200)] + [{"operation_id": None}] * 3
+    table = store.create_operations(make_ops(*rows), str(tmp_path / "table"), ["year"], buckets=16)
+    before = files_of(table.rows())
+    batch = upload(spark, ("id7", "1", "x"), ("id7", "2", "x"), ("new", "3", "x"), (None, "4", "x"))
+    following = upsert_table(table, batch)
+    after = files_of(following.rows())
+    changed = {name.split("/")[1] for name in before ^ after}
+    hit = {r.bucket for r in batch.select(table.bucket().alias("bucket")).distinct().collect()}
+    assert changed == {f"_bucket={bucket}" for bucket in hit} and len(hit) == 3
+    assert len(before & after) >= len(before) - 4
+    # rows without a key are added to, not rewritten
+    assert {n for n in before if "/_bucket=-1/" in n} < {n for n in after if "/_bucket=-1/" in n}
+    assert keyed(following.rows()) == keyed(upsert(table.rows(), batch))
+    assert tuple(upsert_table_summary(table, batch).first()) == (4, 1, 2)
+    assert tuple(upsert_table_summary(following, batch).first()) == (4, 3, 1)
+
+
+def test_upsert_in_place_without_the_key_or_without_rows(spark, make_ops, tmp_path):
+    table = store.create_operations(make_ops({"operation_id": "a"}), str(tmp_path / "one"))
+    added = upsert_table(table, spark.createDataFrame([(1.5,)], "commission double"))
+    assert keyed(added.rows()) == [(None, 1.5), ("a", 10.0)]
+    assert tuple(upsert_table_summary(table, spark.createDataFrame([(1.5,)], "commission double")).first()) == (1, 0, 1)
+    same = upsert_table(added, upload(spark, ("a", "1", "x")).where("false"))
+    assert keyed(same.rows()) == keyed(added.rows()) and same.version == 3
+    empty = store.create_operations(make_ops({}).where("false"), str(tmp_path / "two"))
+    assert empty.rows().count() == 0 and empty.rows().schema == empty.schema
+    assert keyed(upsert_table(empty, upload(spark, ("a", "1", "x"))).rows()) == [("a", 1.0)]
+    unkeyed = store.create_operations(spark.createDataFrame([(1.5,)], "commission double"), str(tmp_path / "three"))
+    assert unkeyed.key is None
+    both = upsert_table(unkeyed, upload(spark, ("a", "1", "x")))
+    assert sorted(r.commission for r in both.rows().collect()) == [1.0, 1.5]
+
+
+def test_partition_values_come_back_as_they_were(spark, tmp_path):
+    cities = ["007", "7", "", None, "a/b=c", "2024-01-02", "n", "v", " x ", "ñ%20"]
+    days = [None, dt.date(2025, 1, 2)]
+    rows = [(f"k{n}", city, days[n % 2]) for n, city in enumerate(cities)]
+    df = spark.createDataFrame(rows, "operation_id string, buyer_city string, registered_on date")
+    table = store.create_operations(df, str(tmp_path / "table"), ["buyer_city", "registered_on"], buckets=2)
+    read = store.read_table(spark, table.folder)
+    assert read.schema == df.schema
+    assert sorted(map(tuple, read.collect())) == sorted(rows)
+    chosen = read.where("buyer_city = '007'")
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "_by_buyer_city" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    assert [r.operation_id for r in chosen.collect()] == ["k0"]
+    with pytest.raises(ValueError):
+        store.create_operations(df.withColumn("x", F.lit(1.5)), str(tmp_path / "other"), ["x"])
+
+
+def test_create_again_replaces_rows_and_layout(spark, make_ops, tmp_path):
+    folder = str(tmp_path / "table")
+    store.create_operations(make_ops({"operation_id": "a"}), folder, ["year"])
+    small = spark.createDataFrame([("z",)], "operation_id string")
+    assert store.create_operations(small, folder, buckets=4).version == 2
+    assert [tuple(r) for r in store.read_table(spark, folder).collect()] == [("z",)]
+    with pytest.raises(FileNotFoundError):
+        store.open_table(spark, str(tmp_path / "none"))
+
+
+def test_rebucket_and_vacuum(spark, make_ops, tmp_path):
+    folder = str(tmp_path / "table")
+    table = store.create_operations(make_ops(*[{"operation_id": f"id{n}"} for n in range(50)]), folder, buckets=4)
+    following = upsert_table(table, upload(spark, ("id1", "1", "x"), (None, "2", "x")))
+    expected = keyed(following.rows())
+    store.vacuum(spark, folder)  # too young
+    assert keyed(table.rows()) != expected
+    store.vacuum(spark, folder, older_than_hours=0)
+    kept = {f"_write={d}" for name in files_of(following.rows()) for d in [name.split("/")[0].split("=")[1]]}
+    assert {n for n in os.listdir(f"{folder}/data")} == kept
+    held = {f"{top}/{b}" for top in kept for b in os.listdir(f"{folder}/data/{top}") if b.startswith("_bucket")}
+    assert held == {path for paths in following.parts.values() for path in paths}
+    assert keyed(store.read_table(spark, folder)) == expected
+    dealt = store.rebucket(following, 7)
+    assert keyed(dealt.rows()) == expected and set(dealt.parts) <= {-1, *range(7)}
+    store.vacuum(spark, folder, older_than_hours=0)
+    assert keyed(store.read_table(spark, folder)) == expected
+    with pytest.raises(FileNotFoundError):
+        store.open_table(spark, str(tmp_path / "nothing"))
 
 
 def test_snapshot(spark, make_ops, tmp_path):
