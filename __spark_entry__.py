@@ -277,6 +277,48 @@ def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_files.read_operations_csv(spark, path, schema=OPERATIONS_SCHEMA)
 
 
+def _quoted_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some buyers' names hold line breaks, delimiters and quotes, and some cities begin with inches."""
+    ops = _operations(spark, sf_dir, _ALL)
+    broken = F.concat("buyer_name", F.lit('\n"two", '), "buyer_id", F.lit("\n\nlines;"))
+    exported = ops.withColumns(
+        {
+            "buyer_name": F.when(F.col("referrer") % 5 == 0, broken).otherwise(F.col("buyer_name")),
+            "seller_city": F.when(F.col("referrer") == 7, F.concat(F.lit('5" '), "seller_city")).otherwise(
+                F.col("seller_city")
+            ),
+        }
+    )
+    path = _scratch(spark, "export")
+    exported.write.csv(path, header=True, escape='"')
+    return csv_files.read_operations_csv(spark, path, schema=OPERATIONS_SCHEMA)
+
+
+def _decimal_commas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts as spreadsheets write them: a comma before the decimals, points between thousands."""
+    ops = _operations(spark, sf_dir, ("operation_id", *_MONEY))
+    written = {name: F.translate(F.format_number(F.round(name, 2), 2), ",.", ".,") for name in _MONEY}
+    path = _scratch(spark, "export")
+    ops.withColumns(written).write.csv(path, header=True, sep=";")
+    return csv_files.read_operations_csv(spark, path, schema=OPERATIONS_SCHEMA, decimal=",")
+
+
+def _schema_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = _operations(spark, sf_dir, _ALL)
+    return csv_files.schema_report(_batch(ops), ops)
+
+
+def _template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An upload that follows the template: its header, and all rows below."""
+    ops = _operations(spark, sf_dir, _ALL)
+    path = _scratch(spark, "template")
+    csv_files.write_template(ops, path)
+    header = spark.read.csv(path, header=True).columns
+    filled = _scratch(spark, "filled")
+    ops.select(*header).write.csv(filled, header=True)
+    return csv_files.read_operations_csv(spark, filled, ",", "UTF-8", OPERATIONS_SCHEMA, multi_line=False)
+
+
 def _dates_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = _operations(spark, sf_dir, ("operation_id", "operation_type", "registered_on"))
     text = (
@@ -360,7 +402,10 @@ def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MAINTENANCE = {
     "s01_csv_round_trip": _csv_round_trip,
+    "s01_quoted_breaks": _quoted_breaks,
+    "s01_decimal_commas": _decimal_commas,
     "s05_create_operations": _create,
+    "s07_schema_report": _schema_report,
     "s09_coerce_dates": _dates_from_text,
     "s10_upsert": _upsert,
     "s11_published_upsert": _published_upsert,
@@ -368,6 +413,7 @@ _MAINTENANCE = {
     "s12_upsert_summary": _upsert_summary,
     "s12_stored_upsert_summary": _stored_upsert_summary,
     "s13_preview": _preview,
+    "s14_template": _template,
     "s15_snapshot": _snapshot,
 }
 

@@ -295,10 +295,23 @@ SUMMARY = f"""SELECT (SELECT COUNT(*) FROM {BATCH} a) AS incoming_rows,
 
 EVERYTHING = f"SELECT {COLUMNS} FROM ops"
 
+_SENT = ("operation_id", "client_name", "commission", "operation_type", "registered_on")
+_REPORTED = [f"SELECT '{c}' AS \"column\", 'matched' AS status, COUNT({c}) AS held FROM {BATCH} b" for c in _SENT]
+_REPORTED.append(f"SELECT 'note', 'extra', COUNT(*) FROM {BATCH} b")
+_REPORTED += [f"SELECT '{c.strip()}', 'missing', 0" for c in COLUMNS.split(",") if c.strip() not in _SENT]
+SCHEMA_REPORT = " UNION ALL ".join(_REPORTED)
+
 # Bodies that read ``ops``, the whole table, and ``f``, the table under the filter if any.
 BODIES = {
     "s01_csv_round_trip": f"SELECT {COLUMNS} FROM (SELECT * REPLACE ('Ñ ' || buyer_city AS buyer_city) FROM ops)",
+    "s01_quoted_breaks": f"""SELECT {COLUMNS} FROM (SELECT * REPLACE (
+CASE WHEN referrer % 5 = 0 THEN buyer_name || chr(10) || '"two", ' || buyer_id || chr(10) || chr(10) || 'lines;'
+ELSE buyer_name END AS buyer_name,
+CASE WHEN referrer = 7 THEN '5" ' || seller_city ELSE seller_city END AS seller_city) FROM ops)""",
+    "s01_decimal_commas": """SELECT operation_id, ROUND(business_value, 2) AS business_value,
+ROUND(commission, 2) AS commission FROM ops""",
     "s05_create_operations": EVERYTHING,
+    "s07_schema_report": SCHEMA_REPORT,
     "s09_coerce_dates": """SELECT operation_id,
 CASE WHEN operation_type IN ('RSG', 'REX') THEN registered_on END AS registered_on FROM ops""",
     "s10_upsert": UPSERTED,
@@ -307,6 +320,7 @@ CASE WHEN operation_type IN ('RSG', 'REX') THEN registered_on END AS registered_
     "s12_upsert_summary": SUMMARY,
     "s12_stored_upsert_summary": SUMMARY,
     "s13_preview": f"SELECT {COLUMNS} FROM ops ORDER BY operation_id LIMIT 5",
+    "s14_template": EVERYTHING,
     "s15_snapshot": EVERYTHING,
     "f03_list_months": "SELECT DISTINCT month_name FROM f WHERE month_name IS NOT NULL",
     "f04_list_years": "SELECT DISTINCT year FROM f WHERE year IS NOT NULL",

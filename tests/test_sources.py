@@ -1,19 +1,24 @@
+import csv
 import datetime as dt
 import os
+import random
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from lonja.runtime import drop_staged, release, releases_staged, stage
 from lonja.schema import OPERATIONS_SCHEMA
-from lonja.sources import store
+from lonja.sources import records, store
 from lonja.sources.csv_files import (
     coerce_dates,
     detect_format,
     preview,
     read_operations_csv,
     schema_diff,
+    schema_report,
     trim_columns,
     write_template,
 )
@@ -53,10 +58,14 @@ def test_tab_with_day_first_dates_and_bad_values(spark, tmp_path):
     text = "OPERACION\tFECHA REGISTRO\tYEAR\n1\t2/01/2025\t2025\n2\t31/31/2025\tsoon\n3\t\t\n"
     path = write(tmp_path / "c.csv", text)
     assert detect_format(spark, path) == ("UTF-8", "\t")
-    df = read_operations_csv(spark, path, schema=OPERATIONS_SCHEMA).orderBy("operation_id")
-    assert [tuple(r) for r in df.collect()] == [
+    lost = Observation()
+    df = read_operations_csv(spark, path, schema=OPERATIONS_SCHEMA, unreadable="null", lost=lost)
+    assert sorted(tuple(r) for r in df.collect()) == [
         ("1", dt.date(2025, 1, 2), 2025), ("2", None, None), ("3", None, None)
     ]
+    assert lost.get == {"registered_on": 1, "year": 1}
+    with pytest.raises(PySparkException, match="year cannot hold: soon"):
+        read_operations_csv(spark, path, schema=OPERATIONS_SCHEMA).collect()
 
 
 def test_format_of_empty_and_single_column_files(spark, tmp_path):
@@ -64,10 +73,113 @@ def test_format_of_empty_and_single_column_files(spark, tmp_path):
     assert detect_format(spark, write(tmp_path / "e.csv", "OPERACION\n1\n")) == ("UTF-8", ",")
 
 
-def test_line_breaks_inside_quotes(spark, tmp_path):
-    path = write(tmp_path / "f.csv", 'OPERACION,CLIENTE\n1,"two\nlines"\n')
-    df = read_operations_csv(spark, path, ",", "UTF-8", OPERATIONS_SCHEMA, multi_line=True)
-    assert df.first().client_name == "two\nlines"
+@pytest.fixture
+def small_splits(spark):
+    """Files are split every 300 bytes."""
+    settings = {"maxPartitionBytes": "300", "openCostInBytes": "1", "minPartitionNum": "1"}
+    for name, value in settings.items():
+        spark.conf.set(f"spark.sql.files.{name}", value)
+    yield
+    for name in settings:
+        spark.conf.unset(f"spark.sql.files.{name}")
+
+
+def written_csv(path, rows, sep=",", encoding="utf-8", end="\n"):
+    with open(path, "w", newline="", encoding=encoding) as file:
+        csv.writer(file, delimiter=sep, lineterminator=end).writerows(rows)
+    return str(path)
+
+
+HARD = ["plain", "two\nlines", 'a "q" b', "x,y;z", 'five\n\n\n"",\n"lines', "", "é\r\nü", '5" pipe', '"', "\n", "'"]
+
+
+@pytest.mark.parametrize("sep, encoding, end", [(",", "utf-8", "\n"), (";", "latin-1", "\r\n"), ("\t", "utf-8", "\n")])
+def test_line_breaks_inside_quotes(spark, tmp_path, small_splits, sep, encoding, end):
+    rng = random.Random(sep)
+    header = ("OPERACION", " CLIENTE ", "COMISION", "no\nte")
+    names = []
+    for part in range(3):
+        rows = [(f"{part}-{n}", rng.choice(HARD), n / 2, rng.choice(HARD)) for n in range(150)]
+        written_csv(tmp_path / f"{part}.csv", [header, *rows], sep, encoding, end)
+        names += [(key, name or None, value, note or None) for key, name, value, note in rows]
+    df = read_operations_csv(spark, str(tmp_path), schema=OPERATIONS_SCHEMA)
+    assert df.columns == ["operation_id", "client_name", "commission", "no\nte"]
+    assert sorted(map(tuple, df.collect())) == sorted(names)
+    inferred = read_operations_csv(spark, str(tmp_path))
+    assert [kind for _, kind in inferred.dtypes] == ["string", "string", "double", "string"]
+
+
+def test_quotes_inside_fields_are_text(spark, tmp_path, small_splits):
+    text = "OPERACION,CLIENTE\n" + "".join(f'{n},5" pipe\n' for n in range(80))
+    df = read_operations_csv(spark, write(tmp_path / "a.csv", text), schema=OPERATIONS_SCHEMA)
+    assert df.count() == 80 and {r.client_name for r in df.collect()} == {'5" pipe'}
+    mixed = text + '80,"two\n5"" lines"\n81,"""\n"\n'
+    df = read_operations_csv(spark, write(tmp_path / "b.csv", mixed), schema=OPERATIONS_SCHEMA)
+    assert {r.client_name for r in df.collect()} == {'5" pipe', 'two\n5" lines', '"\n'}
+    assert df.count() == 82
+
+
+def test_files_that_end_inside_quotes_or_differ_in_headers_are_refused(spark, tmp_path, small_splits):
+    path = write(tmp_path / "a.csv", 'OPERACION,CLIENTE\n1,"open\n' + "2,x\n" * 200)
+    with pytest.raises(ValueError, match="inside quotes"):
+        read_operations_csv(spark, path, schema=OPERATIONS_SCHEMA)
+    (tmp_path / "two").mkdir()
+    written_csv(tmp_path / "two" / "a.csv", [("OPERACION", "CLIENTE"), ("1", "x\ny")])
+    written_csv(tmp_path / "two" / "b.csv", [("CLIENTE", "OPERACION"), ("x\ny", "1")])
+    with pytest.raises(ValueError, match="different headers"):
+        read_operations_csv(spark, str(tmp_path / "two"), schema=OPERATIONS_SCHEMA)
+
+
+def test_records_of_many_lines_and_of_one_file_without_an_end(spark, tmp_path, small_splits):
+    long = "\n".join(f"line {n}" for n in range(400))
+    path = written_csv(tmp_path / "a.csv", [("OPERACION", "CLIENTE"), ("1", long), ("2", "x")])
+    with open(path, "a") as file:
+        file.write('3,"last\none"')
+    df = read_operations_csv(spark, path, schema=OPERATIONS_SCHEMA)
+    assert dict(map(tuple, df.collect())) == {"1": long, "2": "x", "3": "last\none"}
+
+
+def test_states_of_lines_compose():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        t0, t1 = rng.integers(0, 2, (2, 40))
+        for start in (0, 1):
+            expected, state = [], start
+            for zero, one in zip(t0, t1):
+                expected.append(state)
+                state = int(one if state else zero)
+            before, after = records._states(t0, t1, start)
+            assert before.tolist() == expected and after == state
+
+
+@pytest.mark.parametrize("breaks", [False, True])
+def test_amounts_with_decimal_commas(spark, tmp_path, breaks):
+    amounts = {"a": "1,5", "b": "1.234.567,25", "c": "-12", "d": "", "e": "7,", "f": " 2,5 "}
+    rows = [(key, "x\ny" if breaks else "x", text) for key, text in amounts.items()]
+    header = ("OPERACION", "CLIENTE", "COMISION")
+    path = written_csv(tmp_path / "a.csv", [header, *rows], ";")
+    df = read_operations_csv(spark, path, schema=OPERATIONS_SCHEMA, decimal=",")
+    found = {r.operation_id: r.commission for r in df.collect()}
+    assert found == {"a": 1.5, "b": 1234567.25, "c": -12.0, "d": None, "e": 7.0, "f": 2.5}
+    with pytest.raises(PySparkException, match="commission cannot hold"):
+        read_operations_csv(spark, path, schema=OPERATIONS_SCHEMA).collect()
+    for wrong in ("1.5", "1,2,3", "1.23.456", "1 5"):
+        path = written_csv(tmp_path / "b.csv", [header, ("a", "x", wrong)], ";")
+        with pytest.raises(PySparkException, match="commission cannot hold"):
+            read_operations_csv(spark, path, schema=OPERATIONS_SCHEMA, decimal=",").collect()
+        lost = Observation()
+        df = read_operations_csv(spark, path, schema=OPERATIONS_SCHEMA, decimal=",", unreadable="null", lost=lost)
+        assert df.first().commission is None and lost.get == {"commission": 1}
+    with pytest.raises(ValueError):
+        read_operations_csv(spark, path, decimal="'")
+
+
+def test_an_unreadable_amount_keeps_the_upload_out_of_the_table(spark, make_ops, tmp_path):
+    table = store.create_operations(make_ops({"operation_id": "a"}), str(tmp_path / "table"))
+    path = written_csv(tmp_path / "a.csv", [("OPERACION", "COMISION"), ("a", "1,5"), ("b", "2")], ";")
+    with pytest.raises(PySparkException):
+        upsert_table(table, read_operations_csv(spark, path, schema=OPERATIONS_SCHEMA))
+    assert keyed(store.read_table(spark, table.folder)) == [("a", 10.0)]
 
 
 @pytest.mark.parametrize(
@@ -102,6 +214,9 @@ def test_schema_report_preview_and_template(spark, make_ops, tmp_path):
     assert report.pop("a b") == "extra"
     assert report.pop("operation_id") == "matched"
     assert set(report.values()) == {"missing"} and len(report) == 19
+    held = {r.column: (r.status, r.held) for r in schema_report(upload, ops).collect()}
+    assert held["a b"] == ("extra", 1) and held["operation_id"] == ("matched", 1)
+    assert held["client_name"] == ("missing", 0) and len(held) == 21
     assert preview(ops).count() == 5
     folder = str(tmp_path / "template")
     write_template(ops, folder)
