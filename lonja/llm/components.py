@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lonja.runtime import stage
+from lonja.runtime import release, releases_staged, stage
 
 
+@releases_staged
 def connected_components(links: DataFrame) -> DataFrame:
     """``doc_id`` and ``component``, the smallest id of its component, for every id in a link.
 
@@ -29,7 +30,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         least = larger.groupBy("u").agg(F.min("v").alias("least"))
         hung = larger.join(least, "u")
         smaller = hung.where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
-        edges = stage(smaller.union(least.toDF("u", "v")).distinct(), "links")
+        replaced, edges = edges, stage(smaller.union(least.toDF("u", "v")).distinct(), "links")
+        release(replaced)
         before, state = state, _state(edges)
         if state == before:
             break

@@ -12,8 +12,10 @@ that follow from the sizes of the sets alone:
   that many documents share is not among the first ones of documents that are mostly other text.
 * Blocks of documents learn from buckets of shingles which of these another block has too; only
   those become entries of the matrix.
-* A pair is compared in full only if its sizes, the places of its shared shingles and the number of
-  shared first shingles (the accumulated overlap) leave the threshold within reach.
+* A pair is compared in full only if its sizes and the places of a shared shingle leave the
+  threshold within reach. All that two sets share comes at or behind the first shingle that they
+  share, so a smaller set meets others only on its first ``n - ceil(6/7 n) + 1`` shingles: documents
+  of one template whose own text is too long for a link don't meet on the template at all.
 
 Pairs inside a group are not enumerated. First each column of the matrix names one row as its
 leader, the one with the earliest place (in a group of edited copies: the original), and rows are
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 from lonja.llm.components import connected_components
 from lonja.llm.shared_hashes import ANSWERED, ASKED, HASH_BYTES, answer, answers_for, ask
 from lonja.llm.text import ASCII_LOWER, NOT_SPACE, bounded, mixed, powers, utf8, word_bounds, word_hashes
-from lonja.runtime import stage
+from lonja.runtime import release, releases_staged, stage
 
 SHINGLE = 5
 PERCENT = 75
@@ -55,9 +57,9 @@ FREQUENT_IN_SLICE = 4
 #: With how many leaders a row is compared at first. Later pairs make up for the others.
 LEADERS = 1
 
-_MEMBER, _OFTEN, _FIRST, _SET = "member", "often", "first", "set"
+_MEMBER, _OFTEN = "member", "often"
 _SEEN = "kind string, doc_id bigint, n bigint, low bigint, high bigint, token bigint"
-_SENT = "kind string, doc_id bigint, n bigint, token bigint, place bigint, tokens array<bigint>"
+_SENT = "doc_id bigint, n bigint, token bigint, place bigint"
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -188,10 +190,14 @@ def _ask(buckets: int, frequent):
     return run
 
 
+def _entries(columns) -> pa.Table:
+    return pa.table({name: pa.array(column, pa.int64()) for name, column in zip(("doc_id", "n", "token", "place"), columns)})
+
+
 def _send(buckets: int, frequent):
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table(_rows(_SENT, _FIRST, 0))
+            return _entries(np.zeros((4, 0), np.int64))
         chosen = told["doc_id"].combine_chunks().drop_null()
         answers = told.filter(pc.is_valid(told["bucket"]))
         block = _Block(table, chosen, frequent.value)
@@ -199,25 +205,7 @@ def _send(buckets: int, frequent):
         holder = block.holder[used]
         owner = np.array(block.owner, np.int64)
         sizes = np.array([len(s) for s in block.sets], np.int64)
-        holders = np.unique(holder)
-        firsts = _rows(
-            _SENT,
-            _FIRST,
-            len(holder),
-            doc_id=pa.array(owner[holder], pa.int64()),
-            n=pa.array(sizes[holder], pa.int64()),
-            token=pa.array(block.tokens[used].view(np.int64)),
-            place=pa.array(block.place[used]),
-        )
-        sets = _rows(
-            _SENT,
-            _SET,
-            len(holders),
-            doc_id=pa.array(owner[holders], pa.int64()),
-            n=pa.array(sizes[holders], pa.int64()),
-            tokens=pa.array([block.sets[h].view(np.int64) for h in holders], pa.list_(pa.int64())),
-        )
-        return pa.concat_tables([pa.table(firsts), pa.table(sets)])
+        return _entries([owner[holder], sizes[holder], block.tokens[used].view(np.int64), block.place[used]])
 
     return run
 
@@ -228,22 +216,40 @@ def _least_overlap(n: Column, m: Column) -> Column:
 
 
 def _within_reach(n: Column, m: Column, place: Column, other: Column) -> Column:
-    """Whether two sets can link that share a shingle at these places.
+    """Whether two sets can link that share a shingle at these places, it and others.
 
-    They share at most that one, all before it and all behind it. This holds for every shared
-    shingle of a pair that links, so shared shingles can be counted after it.
+    They share at most that one, all before it and all behind it.
     """
     most = F.lit(1) + F.least(place, other) + F.least(n - place - 1, m - other - 1)
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (most >= _least_overlap(n, m))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (a, b), those whose sets link."""
+def _within_reach_of_first(n: Column, m: Column, place: Column, other: Column) -> Column:
+    """Whether two sets can link whose first shared shingle is at these places."""
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (
+        F.least(n - place, m - other) >= _least_overlap(n, m)
+    )
+
+
+def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in bounded(batches, limit=BLOCK_BYTES):
+        tokens = [t.view(np.int64) for t in shingle_sets(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens, pa.list_(pa.int64()))], ["doc_id", "tokens"])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), those whose sets link; staged. Only sets of some pair are made."""
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    needed = texts.join(wanted, "doc_id", "left_semi")
+    sets = stage(needed.mapInArrow(_whole_sets, "doc_id bigint, tokens array<bigint>"), "whole-sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("a_tokens"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("b_tokens"))
     both = F.size(F.array_intersect("a_tokens", "b_tokens"))
     whole = F.size("a_tokens") + F.size("b_tokens") - both
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= PERCENT * whole).select("a", "b")
+    linked = (both > 0) & (100 * both >= PERCENT * whole)
+    found = stage(pairs.join(left, "a").join(right, "b").where(linked).select("a", "b"), "verified-links")
+    release(sets)
+    return found
 
 
 def _leader_pairs(firsts: DataFrame) -> DataFrame:
@@ -269,7 +275,12 @@ def _leader_pairs(firsts: DataFrame) -> DataFrame:
 
 
 def _other_pairs(firsts: DataFrame, component: DataFrame) -> DataFrame:
-    """All pairs of a column in different components that can still link: (a, b)."""
+    """All pairs in different components that can still link: (a, b).
+
+    Pairs inside a column's largest component are never formed, and a pair meets only on columns
+    that may be the first which it shares. There the smaller set (of equal ones that of the smaller
+    id) is among its first ``n - ceil(6/7 n) + 1`` shingles.
+    """
     rows = (
         firsts.join(component, "doc_id", "left")
         .withColumn("component", F.coalesce("component", "doc_id"))
@@ -280,43 +291,29 @@ def _other_pairs(firsts: DataFrame, component: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("components"), F.max(F.struct("count", "component")).alias("largest")
     )
     columns = columns.where(F.col("components") > 1).select("token", F.col("largest.component").alias("largest"))
-    rows = rows.join(columns, "token")
-    outside = rows.where(F.col("component") != F.col("largest")).select(
-        "token",
-        F.col("doc_id").alias("other_id"),
-        F.col("n").alias("m"),
-        F.col("place").alias("other"),
-        F.col("component").alias("other_component"),
-    )
-    n, m = F.col("n"), F.col("m")
-    met = outside.join(rows, "token").where(
-        (F.col("component") != F.col("other_component"))
-        & ((F.col("component") == F.col("largest")) | (F.col("doc_id") < F.col("other_id")))
-        & _within_reach(n, m, F.col("place"), F.col("other"))
-    )
-    # a pair of sets is judged by its own sizes: ids may hold several, and either may come first
-    ordered = F.col("doc_id") < F.col("other_id")
-    counted = met.groupBy(
-        F.least("doc_id", "other_id").alias("a"),
-        F.greatest("doc_id", "other_id").alias("b"),
-        F.when(ordered, n).otherwise(m).alias("n"),
-        F.when(ordered, m).otherwise(n).alias("m"),
-    ).agg(F.count(F.lit(1)).alias("shared"))
-    return counted.where(F.col("shared") >= _least_shared(n, m)).select("a", "b").distinct()
-
-
-def _least_shared(n: Column, m: Column) -> Column:
-    """How many first shingles two sets must share at least to link."""
-
-    def outside(size: Column) -> Column:  # shingles that are not among the first ones
-        return F.ceil(size * PERCENT / F.lit(100.0)) - 1
+    rows = stage(rows.join(columns, "token"), "open-columns")
+    early = rows.where(F.col("place") <= F.col("n") - _least_overlap(F.col("n"), F.col("n")))
+    names = {"doc_id": "other_id", "n": "m", "place": "other", "component": "other_component"}
+
+    def met(smaller: DataFrame, larger: DataFrame) -> DataFrame:
+        larger = larger.drop("largest").withColumnsRenamed(names)
+        n, m = F.col("n"), F.col("m")
+        in_order = (n < m) | ((n == m) & (F.col("doc_id") < F.col("other_id")))
+        apart = F.col("component") != F.col("other_component")
+        near = _within_reach_of_first(n, m, F.col("place"), F.col("other"))
+        return smaller.join(larger, "token").where(in_order & apart & near).select(
+            F.least("doc_id", "other_id").alias("a"), F.greatest("doc_id", "other_id").alias("b")
+        )
 
-    overlap = _least_overlap(n, m)
-    return F.least(overlap - outside(n), overlap - outside(m))
+    outside = F.col("component") != F.col("largest")
+    pairs = met(early.where(outside), rows).union(met(early.where(~outside), rows.where(outside)))
+    found = stage(pairs.distinct(), "other-pairs")
+    release(rows)
+    return found
 
 
 def _incidence(texts: DataFrame, class_ids: DataFrame, frequent) -> DataFrame:
-    """The entries of the matrix that two rows share among their first shingles, and those rows."""
+    """The entries of the matrix that two rows share among their first shingles; staged."""
     size = texts.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 1
     blocks = math.ceil(size / BLOCK_BYTES)
     buckets = max(min(blocks, 256), math.ceil(size / 20 * HASH_BYTES / BUCKET_BYTES))
@@ -329,6 +326,7 @@ def _incidence(texts: DataFrame, class_ids: DataFrame, frequent) -> DataFrame:
     return stage(sent, "shingles")
 
 
+@releases_staged
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id``, the smallest doc_id reachable by links."""
     spark = docs.sparkSession
@@ -340,18 +338,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stage(classes.agg(F.min("doc_id").alias("class_id")), "set-classes")
     class_ids = classes.select(F.col("class_id").alias("doc_id")).distinct()
     frequent = spark.sparkContext.broadcast(frequent_shingles(seen))
-    sent = _incidence(texts.where(numbered), class_ids, frequent)
-    firsts = sent.where(F.col("kind") == _FIRST).select("doc_id", "n", "token", "place")
-    sets = sent.where(F.col("kind") == _SET).select("doc_id", "tokens")
+    texts = texts.where(numbered)
+    firsts = _incidence(texts, class_ids, frequent)
 
     pairs = stage(_leader_pairs(firsts), "leader-pairs")
-    links = stage(_verified(pairs, sets), "leader-links")
+    links = _verified(pairs, texts)
     component = connected_components(links)
-    pairs = stage(_other_pairs(firsts, component), "other-pairs")
-    more = stage(_verified(pairs, sets), "other-links")
+    release(pairs, links)
+    pairs = _other_pairs(firsts, component)
+    release(firsts)
+    more = _verified(pairs, texts)
+    release(pairs)
     if more.head(1):
         ties = component.select(F.col("doc_id").alias("a"), F.col("component").alias("b"))
-        component = connected_components(ties.union(more))
+        component, before = connected_components(ties.union(more)), component
+        release(before)
+    release(more)
 
     known = members.join(classes, ["n", "low", "high"], "left").select("doc_id", "n", "class_id")
     repeated = known.groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("a"))

@@ -71,6 +71,47 @@ def test_pairs_are_judged_by_their_own_sizes(spark):
         assert pair in [(r["a"], r["b"]) for r in found]
 
 
+def test_near_duplicates_of_unequal_sizes(spark, monkeypatch):
+    """Prefixes, extensions and edits around the threshold, with shingles of every frequency."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(jaccard_join, "FREQUENT_LEAST", 9)
+    draw = random.Random(11)
+    words = [f"w{n}" for n in range(3000)]
+    texts = {}
+    for group in range(12):
+        base = draw.choices(words, k=draw.randrange(8, 120))
+        for _ in range(14):
+            own = list(base[: round(len(base) * draw.uniform(0.6, 1))])
+            own += draw.choices(words, k=round(len(base) * draw.choice([0, 0, 0.1, 0.25])))
+            if draw.random() < 0.3:
+                own[draw.randrange(len(own))] = draw.choice(words)
+            texts[len(texts)] = " ".join(own)
+    df = spark.createDataFrame(list(texts.items()), COLUMNS)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(df).collect()}
+    assert found == components(texts)
+
+
+@pytest.mark.parametrize("own_words, linked", [(110, False), (30, True)])
+def test_documents_of_one_template_do_not_meet_on_it(spark, monkeypatch, own_words, linked):
+    """All share 400 words; with 110 words of their own none links, and no pair is formed."""
+    draw = random.Random(3)
+    template = draw.choices([f"t{n}" for n in range(900)], k=400)
+    texts = {n: " ".join([*(f"own{n}x{k}" for k in range(own_words)), *template]) for n in range(150)}
+    formed = []
+    pairs = jaccard_join._other_pairs
+
+    def counted(*given):
+        found = pairs(*given)
+        formed.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard_join, "_other_pairs", counted)
+    df = spark.createDataFrame(list(texts.items()), COLUMNS)
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(df).collect()}
+    assert found == {n: 0 if linked else n for n in texts}
+    assert formed == [0]
+
+
 def test_suffix_array_dedup(spark, docs, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 2000)
     df, texts = docs
