@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lonja.llm import bpe, decontamination, jaccard_join, language, line_dedup
 from lonja.llm.queries import tokenizer_path
-from lonja.runtime import stage
+from lonja.runtime import release, releases_staged, stage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +64,11 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@releases_staged
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of all stages over the documents of a folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
