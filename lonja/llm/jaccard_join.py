@@ -12,8 +12,8 @@ that follow from the sizes of the sets alone:
   that many documents share is not among the first ones of documents that are mostly other text.
 * Blocks of documents learn from buckets of shingles which of these another block has too; only
   those become entries of the matrix.
-* A pair is compared in full only if its sizes and the places of a shared shingle leave the
-  threshold within reach. All that two sets share comes at or behind the first shingle that they
+* A pair is compared in full only if its sizes, the places of a shared shingle and the number of
+  shared first shingles (the accumulated overlap) leave the threshold within reach. All that two sets share comes at or behind the first shingle that they
   share, so a smaller set meets others only on its first ``n - ceil(6/7 n) + 1`` shingles: documents
   of one template whose own text is too long for a link don't meet on the template at all.
 
@@ -307,11 +307,27 @@ def _other_pairs(firsts: DataFrame, component: DataFrame) -> DataFrame:
 
     outside = F.col("component") != F.col("largest")
     pairs = met(early.where(outside), rows).union(met(early.where(~outside), rows.where(outside)))
-    found = stage(pairs.distinct(), "other-pairs")
-    release(rows)
+    pairs = stage(pairs.distinct(), "met-pairs")
+    # a pair of sets is judged by its own sizes: ids may hold several
+    held = rows.select(F.col("doc_id").alias("a"), "n", "token")
+    other = rows.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), "token")
+    shared = pairs.join(held, "a").join(other, ["b", "token"]).groupBy("a", "b", "n", "m").count()
+    enough = shared.where(F.col("count") >= _least_shared(F.col("n"), F.col("m")))
+    found = stage(enough.select("a", "b").distinct(), "other-pairs")
+    release(rows, pairs)
     return found
 
 
+def _least_shared(n: Column, m: Column) -> Column:
+    """How many first shingles two sets must share at least to link."""
+
+    def outside(size: Column) -> Column:  # shingles that are not among the first ones
+        return F.ceil(size * PERCENT / F.lit(100.0)) - 1
+
+    overlap = _least_overlap(n, m)
+    return F.least(overlap - outside(n), overlap - outside(m))
+
+
 def _incidence(texts: DataFrame, class_ids: DataFrame, frequent) -> DataFrame:
     """The entries of the matrix that two rows share among their first shingles; staged."""
     size = texts.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 1
