@@ -13,15 +13,17 @@ that follow from the sizes of the sets alone:
 * Blocks of documents learn from buckets of shingles which of these another block has too; only
   those become entries of the matrix.
 * A pair is compared in full only if its sizes, the places of a shared shingle and the number of
-  shared first shingles (the accumulated overlap) leave the threshold within reach. All that two sets share comes at or behind the first shingle that they
-  share, so a smaller set meets others only on its first ``n - ceil(6/7 n) + 1`` shingles: documents
-  of one template whose own text is too long for a link don't meet on the template at all.
+  shared first shingles (the accumulated overlap) leave the threshold within reach. All that two
+  sets share comes at or behind the first shingle that they share, so the smaller one shares some of
+  its first ``n - ceil(6/7 n) + 1``: documents of one template whose own text is too long for a link
+  share none of these and don't meet on the template at all.
 
-Pairs inside a group are not enumerated. First each column of the matrix names one row as its
+Pairs inside a component are not enumerated. First each column of the matrix names one row as its
 leader, the one with the earliest place (in a group of edited copies: the original), and rows are
 compared with a few leaders. The links found give components. Then every pair of a column whose
 rows are in different components is judged, leaving out pairs inside the column's largest
-component. A pair that would link is in one of the two: no link between components is lost.
+component. A pair that would link is in one of the two: no link between components is lost. Rows that
+share a passage without linking do meet on it, as long as it is not frequent.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with
 nothing; a text of fewer words than a shingle has one shingle, the whole sequence; rows that repeat
@@ -275,11 +277,11 @@ def _leader_pairs(firsts: DataFrame) -> DataFrame:
 
 
 def _other_pairs(firsts: DataFrame, component: DataFrame) -> DataFrame:
-    """All pairs in different components that can still link: (a, b).
+    """All pairs in different components that can still link: (a, b); staged.
 
-    Pairs inside a column's largest component are never formed, and a pair meets only on columns
-    that may be the first which it shares. There the smaller set (of equal ones that of the smaller
-    id) is among its first ``n - ceil(6/7 n) + 1`` shingles.
+    Pairs inside a column's largest component are never formed. A pair that links has a column where
+    the smaller set (of equal ones that of the smaller id) is among its first ``n - ceil(6/7 n) + 1``
+    shingles, so a row without such a column is the larger one of its pairs or in none.
     """
     rows = (
         firsts.join(component, "doc_id", "left")
@@ -292,29 +294,30 @@ def _other_pairs(firsts: DataFrame, component: DataFrame) -> DataFrame:
     )
     columns = columns.where(F.col("components") > 1).select("token", F.col("largest.component").alias("largest"))
     rows = stage(rows.join(columns, "token"), "open-columns")
-    early = rows.where(F.col("place") <= F.col("n") - _least_overlap(F.col("n"), F.col("n")))
+    n, m = F.col("n"), F.col("m")
+    early = rows.where(F.col("place") <= n - _least_overlap(n, n)).select("doc_id", "n").distinct()
+    smaller = rows.join(early, ["doc_id", "n"], "left_semi")
     names = {"doc_id": "other_id", "n": "m", "place": "other", "component": "other_component"}
 
     def met(smaller: DataFrame, larger: DataFrame) -> DataFrame:
         larger = larger.drop("largest").withColumnsRenamed(names)
-        n, m = F.col("n"), F.col("m")
+        places = n, m, F.col("place"), F.col("other")
         in_order = (n < m) | ((n == m) & (F.col("doc_id") < F.col("other_id")))
         apart = F.col("component") != F.col("other_component")
-        near = _within_reach_of_first(n, m, F.col("place"), F.col("other"))
-        return smaller.join(larger, "token").where(in_order & apart & near).select(
-            F.least("doc_id", "other_id").alias("a"), F.greatest("doc_id", "other_id").alias("b")
+        return smaller.join(larger, "token").where(in_order & apart & _within_reach(*places)).select(
+            "doc_id", "other_id", "n", "m", _within_reach_of_first(*places).alias("may_be_first")
         )
 
     outside = F.col("component") != F.col("largest")
-    pairs = met(early.where(outside), rows).union(met(early.where(~outside), rows.where(outside)))
-    pairs = stage(pairs.distinct(), "met-pairs")
+    pairs = met(smaller.where(outside), rows).union(met(smaller.where(~outside), rows.where(outside)))
     # a pair of sets is judged by its own sizes: ids may hold several
-    held = rows.select(F.col("doc_id").alias("a"), "n", "token")
-    other = rows.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), "token")
-    shared = pairs.join(held, "a").join(other, ["b", "token"]).groupBy("a", "b", "n", "m").count()
-    enough = shared.where(F.col("count") >= _least_shared(F.col("n"), F.col("m")))
-    found = stage(enough.select("a", "b").distinct(), "other-pairs")
-    release(rows, pairs)
+    shared = pairs.groupBy("doc_id", "other_id", "n", "m").agg(
+        F.count(F.lit(1)).alias("shared"), F.bool_or("may_be_first").alias("near")
+    )
+    enough = shared.where(F.col("near") & (F.col("shared") >= _least_shared(n, m)))
+    a, b = F.least("doc_id", "other_id").alias("a"), F.greatest("doc_id", "other_id").alias("b")
+    found = stage(enough.select(a, b).distinct(), "other-pairs")
+    release(rows)
     return found
 
 
