@@ -58,6 +58,8 @@ FREQUENT_LEAST = 64
 FREQUENT_IN_SLICE = 4
 #: With how many leaders a row is compared at first. Later pairs make up for the others.
 LEADERS = 1
+#: How many ids, of 8 bytes, may go to every executor.
+IDS_TO_SEND = 1 << 21
 
 _MEMBER, _OFTEN = "member", "often"
 _SEEN = "kind string, doc_id bigint, n bigint, low bigint, high bigint, token bigint"
@@ -240,9 +242,13 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the pairs (a, b), those whose sets link; staged. Only sets of some pair are made."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    needed = texts.join(wanted, "doc_id", "left_semi")
+    """Of the pairs (a, b), those whose sets link; staged. Only sets of some pair are made.
+
+    Their ids go to the texts while they are few enough for that, and meet them in a shuffle if not.
+    """
+    wanted = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "paired-ids")
+    few = wanted.count() <= IDS_TO_SEND
+    needed = texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
     sets = stage(needed.mapInArrow(_whole_sets, "doc_id bigint, tokens array<bigint>"), "whole-sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("a_tokens"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("b_tokens"))
@@ -250,7 +256,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     whole = F.size("a_tokens") + F.size("b_tokens") - both
     linked = (both > 0) & (100 * both >= PERCENT * whole)
     found = stage(pairs.join(left, "a").join(right, "b").where(linked).select("a", "b"), "verified-links")
-    release(sets)
+    release(wanted, sets)
     return found
 
 

@@ -75,6 +75,7 @@ def test_near_duplicates_of_unequal_sizes(spark, monkeypatch):
     """Prefixes, extensions and edits around the threshold, with shingles of every frequency."""
     monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 3000)
     monkeypatch.setattr(jaccard_join, "FREQUENT_LEAST", 9)
+    monkeypatch.setattr(jaccard_join, "IDS_TO_SEND", 0)  # ids and texts meet in a shuffle
     draw = random.Random(11)
     words = [f"w{n}" for n in range(3000)]
     texts = {}
