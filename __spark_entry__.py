@@ -116,6 +116,13 @@ def _graph_queries() -> dict[str, _Query]:
         "q32_bridge_node": graph.bridge_node,
     }.items():
         found[name] = _Query(lambda o, f, part=part: part(graph.network_edges(o, f)), columns)
+    # the largest graph that the dashboard draws, in rounds; and a sample that takes every node
+    found["q32_betweenness_100_pairs"] = _Query(
+        lambda o, f: graph.node_betweenness(graph.network_edges(o, f, n=100), rounds=3), columns
+    )
+    found["q32_betweenness_all_sources"] = _Query(
+        lambda o: graph.node_betweenness(graph.network_edges(o), sources=1000), columns, False
+    )
     return found
 
 

@@ -83,10 +83,17 @@ def edge_scaling(edges: DataFrame) -> DataFrame:
     )
 
 
+def _different(edges: DataFrame, column: str) -> Column:
+    """How many values a column has, as a subquery that reads and shuffles that column alone."""
+    return edges.select(column).distinct().agg(F.count(column)).scalar()
+
+
 def network_size(edges: DataFrame) -> DataFrame:
-    return edges.agg(
-        F.count_distinct("seller").alias("sellers"), F.count_distinct("buyer").alias("buyers")
-    ).select((F.col("sellers") + F.col("buyers")).alias("nodes"), "sellers", "buyers")
+    """The numbers of nodes, sellers and buyers."""
+    counts = [_different(edges, name).alias(f"{name}s") for name in ("seller", "buyer")]
+    return edges.sparkSession.range(1).select(*counts).select(
+        (F.col("sellers") + F.col("buyers")).alias("nodes"), "sellers", "buyers"
+    )
 
 
 def most_connected(edges: DataFrame, *, labels: Labels = ENGLISH) -> DataFrame:
@@ -102,13 +109,12 @@ def most_connected(edges: DataFrame, *, labels: Labels = ENGLISH) -> DataFrame:
 def network_health(edges: DataFrame) -> DataFrame:
     """Density, commission and mean operations per pair."""
     nodes = F.col("sellers") + F.col("buyers")
+    counts = {f"{name}s": _different(edges, name) for name in ("seller", "buyer")}
     return edges.agg(
-        F.count_distinct("seller").alias("sellers"),
-        F.count_distinct("buyer").alias("buyers"),
         m.rows().alias("edges"),
         F.coalesce(m.exact_sum(F.col("commission")), F.lit(0.0)).alias("total_commission"),
         F.avg("transactions").alias("avg_transactions_per_pair"),
-    ).select(
+    ).withColumns(counts).select(
         F.coalesce(
             F.try_divide(F.lit(2) * F.col("edges"), nodes * (nodes - 1)), F.lit(0.0)
         ).alias("density"),
@@ -117,19 +123,28 @@ def network_health(edges: DataFrame) -> DataFrame:
     )
 
 
-def node_betweenness(edges: DataFrame, *, rounds: int = 1, labels: Labels = ENGLISH) -> DataFrame:
-    """Normalised betweenness, to ten decimals so that equal nodes compare equal."""
+def node_betweenness(
+    edges: DataFrame, *, rounds: int = 1, sources: int | None = None, labels: Labels = ENGLISH
+) -> DataFrame:
+    """Normalised betweenness, to ten decimals so that equal nodes compare equal.
+
+    With ``sources`` it is estimated from so many nodes, and comes with its ``standard_error``.
+    """
     links = edges.select(_seller_node().alias("src"), _buyer_node().alias("dst"))
-    scored = betweenness(links, rounds=rounds).select(
-        F.col("node").alias("node_id"), F.round("betweenness", 10).alias("betweenness")
+    scored = betweenness(links, rounds=rounds, sources=sources).select(
+        F.col("node").alias("node_id"),
+        F.round("betweenness", 10).alias("betweenness"),
+        *([] if sources is None else [F.round("standard_error", 10).alias("standard_error")]),
     )
     return _with_type_and_name(scored, labels)
 
 
-def bridge_node(edges: DataFrame, *, rounds: int = 1, labels: Labels = ENGLISH) -> DataFrame:
+def bridge_node(
+    edges: DataFrame, *, rounds: int = 1, sources: int | None = None, labels: Labels = ENGLISH
+) -> DataFrame:
     """The node with the highest betweenness, the first by id among equals."""
     return (
-        node_betweenness(edges, rounds=rounds, labels=labels)
+        node_betweenness(edges, rounds=rounds, sources=sources, labels=labels)
         .orderBy(F.desc("betweenness"), "node_id")
         .limit(1)
     )

@@ -284,16 +284,16 @@ def network_metrics(ops: DataFrame, f: OpsFilter | None = None) -> DataFrame:
 
     Pairs are told apart by their joined text, so two that read the same count once.
     """
-    return (
-        trading_pairs(ops, f)
-        .groupBy("seller_name", "buyer_name")
-        .agg(m.rows().alias("transactions"))
-        .agg(
-            F.count_distinct("seller_name").alias("unique_sellers"),
-            F.count_distinct("buyer_name").alias("unique_buyers"),
-            F.count_distinct(F.concat("seller_name", F.lit("-"), "buyer_name")).alias(
-                "unique_relationships"
-            ),
-            F.avg("transactions").alias("avg_transactions_per_relationship"),
-        )
+    facts = trading_pairs(ops, f)
+
+    def different(value: Column) -> Column:
+        """A subquery of its own, so that rows are not copied for each count."""
+        return facts.select(value.alias("value")).distinct().agg(F.count("value")).scalar()
+
+    pairs = facts.groupBy("seller_name", "buyer_name").agg(m.rows().alias("transactions"))
+    return pairs.agg(F.avg("transactions").alias("avg_transactions_per_relationship")).select(
+        different(F.col("seller_name")).alias("unique_sellers"),
+        different(F.col("buyer_name")).alias("unique_buyers"),
+        different(F.concat("seller_name", F.lit("-"), "buyer_name")).alias("unique_relationships"),
+        "avg_transactions_per_relationship",
     )

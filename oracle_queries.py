@@ -379,6 +379,9 @@ COUNT(CASE WHEN relationship_type <> 'mutual' THEN 1 END) AS one_sided_relations
 {total("total_commission")} AS total_commission FROM ({TYPED_PAIRS})""",
     **graph_queries(EDGES),
     **{f"{name}_whole": body for name, body in graph_queries(ALL_EDGES).items()},
+    "q32_betweenness_100_pairs": graph_queries(EDGES.replace("LIMIT 30", "LIMIT 100"))["q32_betweenness"],
+    "q32_betweenness_all_sources": f"""SELECT *, CAST(0 AS DOUBLE) AS standard_error
+FROM ({graph_queries(EDGES)["q32_betweenness"]})""",
     "q34_network_metrics": f"""SELECT COUNT(DISTINCT seller) AS unique_sellers,
 COUNT(DISTINCT buyer) AS unique_buyers,
 COUNT(DISTINCT seller || '-' || buyer) AS unique_relationships,

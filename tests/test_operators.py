@@ -1,14 +1,17 @@
 import itertools
+import os
 import random
 from collections import Counter, defaultdict, deque
 
 import pytest
 from pyspark.sql import functions as F
 
+from lonja.operators import betweenness as module
 from lonja.operators import cooccurrence
 from lonja.operators.betweenness import betweenness
 from lonja.operators.cooccurrence import shared_holders
 from lonja.operators.quantiles import percentiles
+from lonja.runtime import drop_staged
 
 
 def brandes(edges):
@@ -68,6 +71,41 @@ def test_betweenness_of_random_graph_with_split_hubs(spark):
     assert found == pytest.approx(brandes(edges))
 
 
+def staged_names(spark):
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/lonja-{spark.sparkContext.applicationId}"
+    return sorted(n.rsplit("-", 1)[0] for n in os.listdir(folder)) if os.path.exists(folder) else []
+
+
+def test_at_most_one_round_keeps_its_levels(spark, monkeypatch):
+    drop_staged(spark)
+    chance = random.Random(2)
+    edges = sorted({(f"s{chance.randrange(9)}", f"b{chance.randrange(30)}") for _ in range(70)})
+    seen, searched = [], module._search
+    monkeypatch.setattr(module, "_search", lambda *given: seen.append(staged_names(spark)) or searched(*given))
+    result = betweenness(spark.createDataFrame(edges, "src string, dst string"), rounds=4)
+    assert len(seen) == 4 and not any(name in ("level", "dependency") for names in seen for name in names)
+    assert set(staged_names(spark)) <= {"nodes", "rounds"}
+    assert {r.node: r.betweenness for r in result.collect()} == pytest.approx(brandes(edges))
+    drop_staged(spark)
+
+
+def test_betweenness_from_a_sample_of_nodes(spark):
+    chance = random.Random(8)
+    edges = sorted({(f"s{chance.randrange(12)}", f"b{chance.randrange(40)}") for _ in range(110)})
+    df = spark.createDataFrame(edges, "src string, dst string")
+    exact = brandes(edges)
+    whole = betweenness(df, sources=len(exact) + 5, rounds=2).collect()
+    assert {r.node: r.betweenness for r in whole} == pytest.approx(exact)
+    assert {r.standard_error for r in whole} == {0.0}
+    some = betweenness(df, sources=30, rounds=2).collect()
+    assert {r.node for r in some} == set(exact)
+    near = [abs(r.betweenness - exact[r.node]) <= 3 * r.standard_error + 1e-9 for r in some]
+    assert sum(near) >= 0.9 * len(near) and any(r.standard_error > 0 for r in some)
+    assert sum(r.betweenness for r in some) == pytest.approx(sum(exact.values()), rel=0.3)
+    with pytest.raises(ValueError):
+        betweenness(df, sources=0)
+
+
 def pairs_by_hand(baskets):
     counts = Counter()
     for items in baskets.values():

@@ -327,3 +327,14 @@ def test_dates_that_are_text(make_ops):
     ops = ops.withColumn("registered_on", bad.otherwise(F.col("registered_on").cast("string")))
     assert [r.client_name for r in strategy.churn_risk(ops, as_of=AS_OF).collect()] == ["old"]
     assert [r.operations for r in operations.by_weekday(ops).collect()] == [1, 1]
+
+
+def test_distinct_counts_copy_no_rows(make_ops):
+    ops = make_ops({"seller_name": "a"}, {"seller_name": "a", "buyer_name": "z"}, {"seller_name": "c-d", "buyer_name": None})
+    edges = graph.network_edges(ops, n=None)
+    for df in (network.network_metrics(ops), graph.network_size(edges), graph.network_health(edges)):
+        assert "Expand" not in df._jdf.queryExecution().executedPlan().toString()
+    assert network.network_metrics(ops).first().asDict() == {
+        "unique_sellers": 1, "unique_buyers": 2, "unique_relationships": 2, "avg_transactions_per_relationship": 1.0
+    }
+    assert tuple(graph.network_size(edges).first()) == (3, 1, 2)
