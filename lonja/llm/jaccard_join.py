@@ -63,7 +63,7 @@ IDS_TO_SEND = 1 << 21
 
 _MEMBER, _OFTEN = "member", "often"
 _SEEN = "kind string, doc_id bigint, n bigint, low bigint, high bigint, token bigint"
-_SENT = "doc_id bigint, n bigint, token bigint, place bigint"
+_SENT = "doc_id bigint, n bigint, token bigint, place bigint, known bigint"
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -195,13 +195,14 @@ def _ask(buckets: int, frequent):
 
 
 def _entries(columns) -> pa.Table:
-    return pa.table({name: pa.array(column, pa.int64()) for name, column in zip(("doc_id", "n", "token", "place"), columns)})
+    names = ("doc_id", "n", "token", "place", "known")
+    return pa.table({name: pa.array(column, pa.int64()) for name, column in zip(names, columns)})
 
 
 def _send(buckets: int, frequent):
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _entries(np.zeros((4, 0), np.int64))
+            return _entries(np.zeros((5, 0), np.int64))
         chosen = told["doc_id"].combine_chunks().drop_null()
         answers = told.filter(pc.is_valid(told["bucket"]))
         block = _Block(table, chosen, frequent.value)
@@ -209,7 +210,11 @@ def _send(buckets: int, frequent):
         holder = block.holder[used]
         owner = np.array(block.owner, np.int64)
         sizes = np.array([len(s) for s in block.sets], np.int64)
-        return _entries([owner[holder], sizes[holder], block.tokens[used].view(np.int64), block.place[used]])
+        # how many shingles before each one another set has too
+        before = np.cumsum(used) - used
+        known = before - before[np.flatnonzero(block.place == 0)][block.holder]
+        tokens = block.tokens[used].view(np.int64)
+        return _entries([owner[holder], sizes[holder], tokens, block.place[used], known[used]])
 
     return run
 
@@ -219,12 +224,13 @@ def _least_overlap(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * PERCENT / F.lit(100.0 + PERCENT) - 1e-9)
 
 
-def _within_reach(n: Column, m: Column, place: Column, other: Column) -> Column:
+def _within_reach(n: Column, m: Column, place: Column, other: Column, known: Column, other_known: Column) -> Column:
     """Whether two sets can link that share a shingle at these places, it and others.
 
-    They share at most that one, all before it and all behind it.
+    They share at most that one, all behind it, and of those before it the ones that any other set
+    has: what is a document's own is shared with none.
     """
-    most = F.lit(1) + F.least(place, other) + F.least(n - place - 1, m - other - 1)
+    most = F.lit(1) + F.least(known, other_known) + F.least(n - place - 1, m - other - 1)
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (most >= _least_overlap(n, m))
 
 
@@ -263,18 +269,19 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _leader_pairs(firsts: DataFrame) -> DataFrame:
     """Each row with the leaders of most of its columns: (a, b)."""
     leaders = firsts.groupBy("token").agg(
-        F.count(F.lit(1)).alias("rows"), F.min(F.struct("place", "n", "doc_id")).alias("leader")
+        F.count(F.lit(1)).alias("rows"), F.min(F.struct("place", "n", "doc_id", "known")).alias("leader")
     )
     leaders = leaders.where(F.col("rows") > 1).select(
         "token",
         F.col("leader.doc_id").alias("b"),
         F.col("leader.n").alias("m"),
         F.col("leader.place").alias("other"),
+        F.col("leader.known").alias("other_known"),
     )
     shared = (
         firsts.join(leaders, "token")
         .where(F.col("doc_id") != F.col("b"))
-        .where(_within_reach(F.col("n"), F.col("m"), F.col("place"), F.col("other")))
+        .where(_within_reach(*map(F.col, ("n", "m", "place", "other", "known", "other_known"))))
         .groupBy(F.col("doc_id").alias("a"), "b")
         .count()
     )
@@ -292,7 +299,7 @@ def _other_pairs(firsts: DataFrame, component: DataFrame) -> DataFrame:
     rows = (
         firsts.join(component, "doc_id", "left")
         .withColumn("component", F.coalesce("component", "doc_id"))
-        .select("token", "doc_id", "n", "place", "component")
+        .select("token", "doc_id", "n", "place", "known", "component")
     )
     sizes = rows.groupBy("token", "component").count()
     columns = sizes.groupBy("token").agg(
@@ -303,14 +310,15 @@ def _other_pairs(firsts: DataFrame, component: DataFrame) -> DataFrame:
     n, m = F.col("n"), F.col("m")
     early = rows.where(F.col("place") <= n - _least_overlap(n, n)).select("doc_id", "n").distinct()
     smaller = rows.join(early, ["doc_id", "n"], "left_semi")
-    names = {"doc_id": "other_id", "n": "m", "place": "other", "component": "other_component"}
+    names = {"doc_id": "other_id", "n": "m", "place": "other", "known": "other_known", "component": "other_component"}
 
     def met(smaller: DataFrame, larger: DataFrame) -> DataFrame:
         larger = larger.drop("largest").withColumnsRenamed(names)
         places = n, m, F.col("place"), F.col("other")
         in_order = (n < m) | ((n == m) & (F.col("doc_id") < F.col("other_id")))
         apart = F.col("component") != F.col("other_component")
-        return smaller.join(larger, "token").where(in_order & apart & _within_reach(*places)).select(
+        near = _within_reach(*places, F.col("known"), F.col("other_known"))
+        return smaller.join(larger, "token").where(in_order & apart & near).select(
             "doc_id", "other_id", "n", "m", _within_reach_of_first(*places).alias("may_be_first")
         )
 

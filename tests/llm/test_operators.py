@@ -62,9 +62,9 @@ def test_near_duplicates(spark, docs, monkeypatch):
 
 
 def test_pairs_are_judged_by_their_own_sizes(spark):
-    rows = [(i, n, t, t) for t in range(6) for i, n in ((1, 80), (2, 100), (11, 80) if t < 3 else (12, 100))]
-    both = [(5, 80, t, t) for t in range(6)] + [(6, 100, t, t) for t in range(7)] + [(5, 100, 6, 6)]
-    schema = "doc_id long, n long, token long, place long"
+    rows = [(i, n, t, t, t) for t in range(6) for i, n in ((1, 80), (2, 100), (11, 80) if t < 3 else (12, 100))]
+    both = [(5, 80, t, t, t) for t in range(6)] + [(6, 100, t, t, t) for t in range(7)] + [(5, 100, 6, 6, 6)]
+    schema = "doc_id long, n long, token long, place long, known long"
     component = spark.createDataFrame([(1, 1), (11, 1), (2, 2), (12, 2)], "doc_id long, component long")
     for given, pair in ((rows, (1, 2)), (both, (5, 6))):
         found = jaccard_join._other_pairs(spark.createDataFrame(given, schema), component).collect()
