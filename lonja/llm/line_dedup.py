@@ -1,14 +1,17 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A run is a table of line keys: each key's 128-bit digest, in how many documents it was seen and
-the largest id among them, bucketed and sorted by the digest. Every batch of documents becomes a
-run on level 0. When a level holds ``FANOUT`` runs they are compacted into one run on the next
-level, so a store of any number of batches has few runs. Runs of one store share their buckets:
-compaction and joins merge sorted buckets without dealing the runs out anew.
-
-``LineRuns.unseen`` is the incremental use: the lines of a batch that no earlier batch had, by an
-anti-join with each run. ``common_lines`` and ``drop_common_lines`` judge whole tables: there a key
-is dropped by what all batches together have seen.
+the largest id among them, bucketed and sorted by the digest. A new batch of documents is dealt into
+the same buckets and merge-anti-joined with the runs: the keys that no run has become a run on level
+0, so runs never share a key; what the batch says about the others is kept beside the runs, in tables
+of the same form. When a level holds ``FANOUT`` tables they are compacted into one on the next level,
+two at a time, so a store of any number of batches has few tables. All tables of a store have the
+same buckets: joins with them and compactions merge sorted buckets and deal nothing out anew. There
+are at least as many buckets as shuffle partitions, and more for more than ``BUCKET_ROWS`` rows in
+each.
+
+The tables are in the session's catalog, which alone knows buckets, until ``LineRuns.close``; what
+``common_lines`` finds is staged, and its store closed.
 
 Defined results: a null or empty text is one empty line; a line's key is the line with white space
 (space and the control characters 9 to 13) stripped at both ends and A-Z lowered; lines repeated
@@ -18,18 +21,20 @@ without a doc_id are kept whole and not counted; columns other than doc_id and t
 
 from __future__ import annotations
 
+import math
 import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lonja.runtime import hadoop_path, stage, staging_root
+from lonja.runtime import hadoop_path, release, releases_staged, stage, staging_root
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 FANOUT = 3
 BATCHES = 4
+BUCKET_ROWS = 1 << 22
 
 _SPACE = " \t\n\x0b\x0c\r"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -67,77 +72,102 @@ def _text_key() -> Column:
 
 
 class LineRuns:
-    """The runs of one store. ``levels[n]`` names the tables of level n."""
+    """The runs of one store. ``levels[n]`` names those of level n; ``again`` in the same way the
+    tables of what later batches have said about keys of earlier runs."""
 
     def __init__(self, spark: SparkSession, buckets: int):
         self.spark = spark
         self.buckets = buckets
         self.name = f"line_runs_{uuid.uuid4().hex}"
         self.levels: list[list[str]] = [[]]
+        self.again: list[list[str]] = [[]]
+        self._all: set[str] = set()
 
-    def _write(self, run: DataFrame, level: int) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        table = f"{self.name}_{level}_{uuid.uuid4().hex}"
+    def _write(self, rows: DataFrame) -> str:
+        """A new table; the tasks of ``rows`` have a bucket each."""
+        table = f"{self.name}_{uuid.uuid4().hex}"
+        self._all.add(table)
         (
-            run.repartition(self.buckets, "low")
-            .write.bucketBy(self.buckets, "low")
+            rows.write.bucketBy(self.buckets, "low", "high")
             .sortBy("low", "high")
             .option("path", f"{staging_root(self.spark)}/{table}")
             .format("parquet")
             .saveAsTable(table)
         )
-        self.levels[level].append(table)
+        return table
 
-    def _tables(self, names: list[str]) -> list[DataFrame]:
-        return [self.spark.table(name) for name in names]
+    def _drop(self, *tables: str) -> None:
+        for table in tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            filesystem, path = hadoop_path(self.spark, f"{staging_root(self.spark)}/{table}")
+            filesystem.delete(path, True)
+            self._all.discard(table)
 
-    @staticmethod
-    def _summed(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("low", "high").agg(
-            F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc")
-        )
+    def close(self) -> None:
+        """Drop all tables of the store."""
+        self._drop(*list(self._all))
+        self.levels, self.again = [[]], [[]]
 
     def unseen(self, keys: DataFrame) -> DataFrame:
         """The rows of ``keys`` whose line no run has."""
-        for run in self._tables([t for level in self.levels for t in level]):
-            keys = keys.join(run, ["low", "high"], "left_anti")
+        for table in [t for level in self.levels for t in level]:
+            keys = keys.join(self.spark.table(table), ["low", "high"], "left_anti")
         return keys
 
     def add(self, keys: DataFrame) -> None:
-        """Add a batch's keys (one row per document and key) as a run, and compact full levels."""
-        rows = keys.select("low", "high", F.lit(1).cast("long").alias("n_docs"), F.col("doc_id").alias("last_doc"))
-        self._write(self._summed(rows), 0)
+        """Add a batch's keys (one row per document and key), and compact full levels."""
+        counted = keys.groupBy("low", "high").agg(
+            F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc")
+        )
+        batch = self._write(counted.repartition(self.buckets, "low", "high"))
+        if not any(self.levels):
+            self._push(self.levels, batch)
+            return
+        rows = self.spark.table(batch)
+        run = self._write(self.unseen(rows))
+        seen = self._write(rows.join(self.spark.table(run), ["low", "high"], "left_anti"))
+        self._drop(batch)
+        self._push(self.levels, run)
+        self._push(self.again, seen)
+
+    def _push(self, levels: list[list[str]], table: str) -> None:
+        levels[0].append(table)
         level = 0
-        while len(self.levels[level]) >= FANOUT:
-            full, self.levels[level] = self.levels[level], []
-            self._write(self._merged(full), level + 1)
-            for table in full:
-                self._drop(table)
+        while len(levels[level]) >= FANOUT:
+            if len(levels) == level + 1:
+                levels.append([])
+            full, levels[level] = levels[level], []
+            levels[level + 1].append(self._compacted(full))
             level += 1
 
-    def _merged(self, names: list[str]) -> DataFrame:
-        """Runs full-joined one after the other, each join a merge of sorted buckets."""
+    def _compacted(self, tables: list[str]) -> str:
+        return reduce(self._merged, tables)
 
-        def merge(left: DataFrame, right: DataFrame) -> DataFrame:
-            right = right.toDF("low", "high", "more_docs", "later_doc")
-            return left.join(right, ["low", "high"], "full").select(
-                "low",
-                "high",
-                (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more_docs", F.lit(0))).alias("n_docs"),
-                F.greatest("last_doc", "later_doc").alias("last_doc"),
-            )
+    def _merged(self, left: str, right: str) -> str:
+        """Two tables as one, by a merge of their sorted buckets."""
+        merged = self._write(self.merge(self.spark.table(left), self.spark.table(right)))
+        self._drop(left, right)
+        return merged
 
-        return reduce(merge, self._tables(names))
+    @staticmethod
+    def merge(left: DataFrame, right: DataFrame, how: str = "full") -> DataFrame:
+        right = right.toDF("low", "high", "more_docs", "later_doc")
+        return left.join(right, ["low", "high"], how).select(
+            "low",
+            "high",
+            (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more_docs", F.lit(0))).alias("n_docs"),
+            F.greatest("last_doc", "later_doc").alias("last_doc"),
+        )
 
     def merged(self) -> DataFrame:
-        """All runs as one: ``low``, ``high``, ``n_docs``, ``last_doc``."""
-        return self._merged([t for level in self.levels for t in level])
-
-    def _drop(self, table: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-        filesystem, path = hadoop_path(self.spark, f"{staging_root(self.spark)}/{table}")
-        filesystem.delete(path, True)
+        """All that the store knows: ``low``, ``high``, ``n_docs``, ``last_doc``; every key once."""
+        runs = [self.spark.table(t) for level in self.levels for t in level]
+        later = [t for level in self.again for t in level]
+        if later:
+            self.again = [[self._compacted(later)]]
+            seen = self.spark.table(self.again[0][0])
+            runs = [self.merge(run, seen, "left") for run in runs]
+        return reduce(DataFrame.unionByName, runs)
 
 
 def common_lines(
@@ -150,10 +180,15 @@ def common_lines(
     spark = lines.sparkSession
     keys = lines.select("doc_id", "low", "high").distinct()
     keys = stage(keys.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))), "line-keys")
-    runs = LineRuns(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    for number in range(batches):
-        runs.add(keys.where(F.col("batch") == number))
-    common = runs.merged().where(F.col("n_docs") >= min_docs)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = LineRuns(spark, max(partitions, math.ceil(keys.count() / batches / BUCKET_ROWS)))
+    try:
+        for number in range(batches):
+            runs.add(keys.where(F.col("batch") == number))
+        release(keys)
+        common = stage(runs.merged().where(F.col("n_docs") >= min_docs), "common-lines")
+    finally:
+        runs.close()
     return (
         lines.join(common, ["low", "high"])
         .where(F.col("doc_id") != F.col("last_doc"))
@@ -161,6 +196,7 @@ def common_lines(
     )
 
 
+@releases_staged
 def drop_common_lines(
     docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES
 ) -> DataFrame:
@@ -174,22 +210,22 @@ def drop_common_lines(
     lines = stage(long_lines(docs, min_chars), "long-lines")
     gone = (
         common_lines(lines, min_docs, batches)
-        .groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"))
-        .agg(F.collect_set("line").alias("_gone"))
+        .groupBy("doc_id", "text_key")
+        .agg(F.collect_set("line").alias("gone"))
     )
-    others = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    split = docs.select(*others, _text_key().alias("_key"), split_lines(F.col("text")).alias("_lines"))
-    joined = split.join(gone, (F.col("doc_id") == F.col("_doc")) & (F.col("_key") == F.col("_text")), "left")
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.array_join("_lines", "\n")).otherwise(
-        F.array_join(F.transform(left, lambda n: F.get(F.col("_lines"), n)), "\n")
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    others = [c for c in kept if c != "text"]
+    # the caller's columns are inside one, so that their names meet none of these
+    split = docs.select(
+        F.struct(*others).alias("row"), "doc_id", _text_key(), split_lines(F.col("text")).alias("lines")
     )
-    counted = joined.withColumns(
-        {
-            "text": text,
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-        }
+    joined = split.join(gone, ["doc_id", "text_key"], "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.array_join("lines", "\n")).otherwise(
+        F.array_join(F.transform(left, lambda n: F.get(F.col("lines"), n)), "\n")
+    )
+    return joined.select(
+        *((text if c == "text" else F.col("row")[c]).alias(c) for c in kept),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return counted.select(*kept, "n_lines", "n_dropped")

@@ -131,7 +131,12 @@ def test_line_dedup(spark):
     shared = "This Line is long enough to be counted by all of them"
     rows = [(n, f"own {n}\n {shared.upper() if n % 2 else shared}\t\n{shared}\nshort") for n in range(6)]
     df = spark.createDataFrame([*rows, *ODD, (None, shared), (5, rows[5][1])], COLUMNS)
+    clash = df.selectExpr("*", *(f"doc_id AS {c}" for c in ("row", "lines", "gone", "text_key", "_key", "_doc")))
     found = {}
+    result = line_dedup.drop_common_lines(clash)
+    assert result.columns == [*clash.columns, "n_lines", "n_dropped"]
+    assert all(r["row"] == r["gone"] == r["doc_id"] for r in result.collect())
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_runs")]
     for r in line_dedup.drop_common_lines(df).collect():
         found.setdefault(r["doc_id"], []).append((r["n_lines"], r["n_dropped"], r["text"]))
     for n in range(5):
@@ -151,6 +156,24 @@ def test_runs_know_earlier_lines(spark):
     assert [len(level) for level in runs.levels] == [1, 2]
     whole = {r["low"]: (r["n_docs"], r["last_doc"]) for r in runs.merged().collect()}
     assert whole == {n: (1, n) for n in range(7)} | {100: (7, 6)}
+    runs.close()
+
+
+def test_batches_and_compactions_merge_buckets(spark, monkeypatch):
+    """Neither the anti-join of a batch with the runs nor a compaction deals rows out anew."""
+    monkeypatch.setattr(line_dedup, "FANOUT", 9)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        runs = line_dedup.LineRuns(spark, 3)
+        for n in range(3):
+            runs.add(spark.range(50).selectExpr(f"id + {n} AS doc_id", f"id * {n + 1} AS low", "id AS high"))
+        first, second, third = (spark.table(t) for t in runs.levels[0])
+        for plan in (runs.unseen(third), runs.merge(first, second), runs.merge(first, third, "left")):
+            assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+        assert first.join(second, ["low", "high"]).count() == 0
+        runs.close()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_unit_dedup(spark):
