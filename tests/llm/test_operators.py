@@ -323,6 +323,43 @@ def test_language(spark):
     assert [r["lang"] for r in none] == ["und"]
 
 
+def test_language_rejects_what_it_has_not_learned(spark):
+    """Texts of other syllables are rejected, held-out rows and short texts are not."""
+    draw = random.Random(5)
+    vowels = {"aa": "aeo", "bb": "eiu", "cc": "aou", "dd": "uyo"}
+    consonants = {"aa": "brtn", "bb": "plsn", "cc": "dgmt", "dd": "kzvx"}
+
+    def text(lang, words):
+        syllables = [c + v for c in consonants[lang] for v in vowels[lang]]
+        return " ".join("".join(draw.choices(syllables, k=draw.randrange(1, 4))) for _ in range(words))
+
+    rows = [(n, text(lang, 60), lang) for n, lang in enumerate(["aa", "bb", "cc"] * 120)]
+    rows += [(1, rows[1][1], rows[1][2])] * 50 + [(None, "x", "aa"), (2, None, "aa"), (3, "x", None)]
+    df = spark.createDataFrame(rows, f"{COLUMNS}, lang string")
+    sample = language.training_sample(df, rows=80)
+    assert sorted(lang for _, lang in sample) == ["aa"] * 80 + ["bb"] * 80 + ["cc"] * 80
+    assert len(set(sample)) == len(sample)
+    model = language.train(sample)
+    known = [(n, text(lang, words)) for n, (lang, words) in enumerate([(x, w) for x in ("aa", "bb", "cc") for w in (4, 40, 400)] * 20)]
+    unknown = [(1000 + n, text("dd", 40)) for n in range(60)] + [(2000, "日本語の文章はここにあります。" * 3)]
+    both = spark.createDataFrame([*known, *unknown], COLUMNS)
+    accepted = {r["doc_id"]: r["f"]["accepted"] for r in both.select("doc_id", language.identify(both, model).alias("f")).collect()}
+    assert sum(accepted[n] for n, _ in known) >= 0.98 * len(known)
+    assert not any(accepted[n] for n, _ in unknown)
+    assert both.where("false").select(language.identify(both, model)).count() == 0
+    assert language.training_sample(df.where("false")) == []
+
+
+def test_many_languages_are_all_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "DIMENSIONS", 4)
+    rows = [(n, " ".join([f"{'abcdefghij'[n % 10] * 3}{'xyz'[k % 3]}" for k in range(20)]), f"l{n % 10}") for n in range(200)]
+    model = language.train(language.training_sample(spark.createDataFrame(rows, f"{COLUMNS}, lang string")))
+    assert len(model.languages) == 10 and model.table.shape[1] == 4
+    df = spark.createDataFrame(rows, f"{COLUMNS}, lang string")
+    found = df.select("lang", language.identify(df, model)["lang"].alias("told")).collect()
+    assert sum(r["lang"] == r["told"] for r in found) >= 180
+
+
 def test_toxicity(spark):
     draw = random.Random(3)
     words = [f"word{n}" for n in range(300)]
