@@ -2,13 +2,16 @@
 classifier is trained on the result.
 
 Base spans are what fixed patterns find and checks confirm; they always stay. Candidates are what
-the same patterns find and the checks turn down, and what wider patterns find (telephone numbers
-without a country, e-mail addresses written out). On every candidate and base span four labelers
-vote for, against, or not at all:
-
-* ``regex``: the strict pattern and its check,
+wider patterns find: telephone numbers as they are written inside a country, e-mail addresses written
+out, addresses of sixteen bytes, card numbers with other separators or at the start or end of a longer
+row of digits. What the base patterns find and a check turns down is a candidate only if it can still
+be personal data: a telephone number of seven or eight digits. A check that can tell is final: no card
+number fails Luhn's, none is part of a longer word, and forms that prices and tables have too
+need a cue word. On every candidate and base span four labelers vote for, against, or not at all:
+
+* ``regex``: the strict pattern and its check; it says nothing of what only a wider one finds,
 * ``gazetteer``: known top-level domains, issuer digits, area forms, address ranges,
-* ``context``: a cue word before the span,
+* ``context``: a cue word before the span, in English, Spanish, French or German,
 * ``shape``: how the parts are grouped and what stands beside the span.
 
 Expectation maximisation over the counts of equal votes estimates for each kind how often it is
@@ -44,27 +47,39 @@ _PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_FRENCH = r"0[1-9](?:[ .-][0-9]{2}){4}"
+_AMERICAN = r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"
+_SPANISH = r"[6789][0-9]{2}(?:(?:[ .-][0-9]{3}){2}|(?:[ .-][0-9]{2}){3})"
+_GERMAN = r"\(?0[1-9][0-9]{1,4}\)?[ /-][0-9]{4,9}"
 _WIDE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++ ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?: ?(?:[(\[]dot[)\]]|\.) ?[A-Za-z0-9-]++)++",
-    "phone": r"(?<![0-9+.(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "ip": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
+    "card": r"(?<![0-9A-Za-z])[0-9]{4}([ ./_-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9A-Za-z])",
+    "phone": rf"(?<![0-9A-Za-z+.,(/-])(?:{_FRENCH}|{_AMERICAN}|{_SPANISH}|{_GERMAN})(?![0-9A-Za-z])",
 }
 #: What a text must have for a pattern to be tried.
 _NEEDS = {
     ("email", False): lambda t: F.instr(t, "@") > 0,
     ("email", True): lambda t: t.rlike(r"[(\[]at[)\]]"),
     ("ip", False): lambda t: t.rlike(r"[0-9]\.[0-9]"),
+    ("ip", True): lambda t: t.rlike(r"[0-9A-Fa-f]::?[0-9A-Fa-f]"),
     ("card", False): lambda t: t.rlike(r"[0-9][\x20-]?[0-9]"),
+    ("card", True): lambda t: t.rlike(r"[0-9]{4}[ ./_-]?[0-9]{4}"),
     ("phone", False): lambda t: F.instr(t, "+") > 0,
-    ("phone", True): lambda t: t.rlike(r"[0-9]{3}[ .-][0-9]{4}"),
+    ("phone", True): lambda t: t.rlike(r"[0-9]\)?[ ./-][0-9]{2}"),
 }
 
 # Lists that the labelers look up.
-_DOMAINS = "com org net edu gov info io de fr es uk eu us ca ch at nl it".split()
+_DOMAINS = (
+    "com org net edu gov mil int info biz name pro io ai app dev me tv cc eu "
+    "ar at au be bg br ca ch cl cn co cr cu cy cz de dk do ec ee es fi fr gr gt hk hr hu ie il in ir is it "
+    "jp ke kr lt lu lv ma mt mx my ng nl no nz pa pe ph pk pl pt py ro rs ru se sg si sk th tn tr tw ua uk us uy ve vn za"
+).split()
 _CUES = {
-    "email": "mail|contact|write|reach",
-    "ip": "ip|host|server|address|addr",
-    "card": "card|visa|credit|payment|pay",
-    "phone": "phone|tel|call|fax|mobile|cell",
+    "email": "e-?mail|contact|write|reach|correo|contacto|courriel|kontakt|schreib",
+    "ip": "ip|host|server|address|addr|servidor|direcci|serveur|adresse",
+    "card": "card|visa|mastercard|amex|credit|payment|pay|tarjeta|pago|carte|paiement|karte|kreditkarte|zahlung",
+    "phone": "phone|tel|call|fax|mobile|cell|m.vil|llam|t.l.phone|appel|portable|handy|anruf|rufnummer",
 }
 
 
@@ -136,9 +151,12 @@ def _spans(matches: DataFrame) -> DataFrame:
     rows = rows.withColumn("end", F.sum(F.col("gap") + length).over(order)).withColumn("start", F.col("end") - length)
     kind, value = F.col("kind"), F.col("value")
     digits = F.length(_digits(value))
+    inside = F.col("before").rlike("[0-9a-z]$")
+    clear = value.rlike(rf"^(?:{_FRENCH}|{_AMERICAN})$")
     likely = (
-        F.when(kind == "card", digits.between(12, 19))
-        .when(kind == "phone", digits >= 7)
+        F.when(kind == "card", F.when(F.col("wide"), _luhn(_digits(value))).otherwise(False))
+        .when(kind == "ip", F.col("wide"))
+        .when(kind == "phone", F.when(F.col("wide"), clear | _cue(kind)).otherwise(digits.between(7, 15) & ~inside))
         .otherwise(True)
     )
     rows = rows.withColumn("base", ~F.col("wide") & _confirmed(kind, value)).where(F.col("base") | likely)
@@ -148,27 +166,35 @@ def _spans(matches: DataFrame) -> DataFrame:
     )
 
 
-def _votes(kind: Column, value: Column, digits: Column) -> dict[str, Column]:
-    domain = F.lower(F.regexp_extract(value, r"([A-Za-z]+)$", 1))
-    first = F.ltrim(F.split(value, r"\.")[0], F.lit("0"))
+def _cue(kind: Column) -> Column:
+    """Whether a cue word stands before the span."""
     cue = F.lit(False)
     for name, words in _CUES.items():
         cue = F.when(kind == name, F.col("before").rlike(rf"\b(?:{words})")).otherwise(cue)
+    return cue
+
+
+def _votes(kind: Column, value: Column, digits: Column) -> dict[str, Column]:
+    domain = F.lower(F.regexp_extract(value, r"([A-Za-z]+)$", 1))
+    first = F.ltrim(F.split(value, r"\.")[0], F.lit("0"))
+    cue, wide = _cue(kind), F.col("wide")
     yes, no, none = F.lit(1), F.lit(-1), F.lit(0)
     gazetteer = (
         F.when(kind == "email", F.when(domain.isin(_DOMAINS), yes).otherwise(no))
+        .when((kind == "ip") & wide, F.when(F.lower(value).rlike("^(?:2[0-9a-f]{3}|f[cde][0-9a-f]{2}):"), yes).otherwise(no))
         .when(kind == "ip", F.when((first == "") | (F.length(first) > 3), no).otherwise(yes))
         .when(kind == "card", F.when(value.rlike("^[3-6]"), yes).otherwise(no))
+        .when(wide, F.when(value.rlike(rf"^(?:{_FRENCH}|\(?[2-9][0-9]{{2}}\)?[ .-][2-9].*)$"), yes).otherwise(none))
         .otherwise(F.when(value.rlike(r"^\+?(?:1|[2-9][0-9]{0,2})?[ .-]?\(?[0-9]{3}\)?"), yes).otherwise(none))
     )
     shape = (
-        F.when(kind == "email", F.when(value.rlike(r"[ (\[]"), none).otherwise(yes))
+        F.when(kind == "email", yes)
         .when(kind == "ip", F.when(value.rlike(r"(?:^|\.)0[0-9]"), no).otherwise(yes))
-        .when(kind == "card", F.when(value.rlike(r"^[0-9]{12,19}$|^[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}$"), yes).otherwise(no))
+        .when(kind == "card", F.when(value.rlike(r"^[0-9]{12,19}$|^[0-9]{4}([ ./_-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}$"), yes).otherwise(no))
         .otherwise(F.when(digits.between(9, 15), yes).otherwise(no))
     )
     return {
-        "regex": F.when(F.col("base"), yes).otherwise(no),
+        "regex": F.when(F.col("base"), yes).when(wide, none).otherwise(no),
         "gazetteer": gazetteer,
         "context": F.when(cue, yes).otherwise(none),
         "shape": shape,
@@ -177,7 +203,7 @@ def _votes(kind: Column, value: Column, digits: Column) -> dict[str, Column]:
 
 def reliabilities(counts: list[dict]) -> tuple[dict[str, float], dict[tuple[str, str], dict[int, tuple[float, float]]]]:
     """By expectation maximisation: the share of true spans of each kind, and for each kind and
-    labeler how likely each vote is on a false and on a true span.
+    labeler how likely each vote is on a false and on a true span, if it votes at all.
 
     ``counts`` has ``kind``, the votes and ``count``.
     """
@@ -190,12 +216,16 @@ def reliabilities(counts: list[dict]) -> tuple[dict[str, float], dict[tuple[str,
             total = sum(row["count"] for row in rows)
             share[kind] = (true + 1) / (total + 2)
             for name in LABELERS:
+                said = [(b, row["count"], row[name]) for b, row in zip(belief, rows) if row[name]]
+                on_true = sum(b * c for b, c, _ in said)
+                on_false = sum((1 - b) * c for b, c, _ in said)
                 chance[kind, name] = {}
-                for vote in (-1, 0, 1):
-                    hits = [(b, row["count"]) for b, row in zip(belief, rows) if row[name] == vote]
-                    on_true = (sum(b * c for b, c in hits) + 0.5) / (true + 1.5)
-                    on_false = (sum((1 - b) * c for b, c in hits) + 0.5) / (total - true + 1.5)
-                    chance[kind, name][vote] = (on_false, on_true)
+                for vote in (-1, 1):
+                    hits = [(b, c) for b, c, own in said if own == vote]
+                    chance[kind, name][vote] = (
+                        (sum((1 - b) * c for b, c in hits) + 0.5) / (on_false + 1),
+                        (sum(b * c for b, c in hits) + 0.5) / (on_true + 1),
+                    )
             belief = [posterior(row, share, chance) for row in rows]
     return share, chance
 
@@ -204,6 +234,8 @@ def posterior(row: dict, share: dict, chance: dict) -> float:
     """How likely a span with these votes is a true one."""
     odds = math.log(share[row["kind"]] / (1 - share[row["kind"]]))
     for name in LABELERS:
+        if not row[name]:
+            continue  # a labeler that does not vote says nothing
         on_false, on_true = chance[row["kind"], name][row[name]]
         odds += math.log(on_true / on_false)
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))

@@ -159,6 +159,7 @@ def op9_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """The counts are of all spans, the base ones and those that the method adds."""
     found = pii.personal_data(_documents(spark, folder))
     base = F.filter("spans", lambda s: s["base"])
 

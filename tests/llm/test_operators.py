@@ -259,6 +259,29 @@ def test_personal_data(spark):
     assert pii.personal_data(empty(spark)).count() == 0
 
 
+def test_added_personal_data(spark):
+    """Among base spans: written out and national forms are added, what only looks alike is not."""
+    wanted = [
+        "mail me: joe.doe [at] mail [dot] example.org now", "tel 01 42 68 53 00 ok", "call (212) 555-0147 ok",
+        "pay 4111 1111 1111 1111 2024 ok", "card 4111.1111.1111.1111 ok", "server 2001:db8:0:1:2:3:4:5 ok",
+        "Tarjeta 5500/0000/0000/0004 ok", "host fe80::1ff:fe23:4567:890a ok", "Anruf 0171/5551234 ok",
+    ]
+    decoys = [
+        "pay 4111 1111 1111 1112 2024 ok", "5d190b36974748794293dd8a", "total 612 345 678 units", "at 12:30:45 it ran",
+        "version 1.2.3.400", "card 1234567890123456 ok", "std::add of 10:20", "x4111.1111.1111.1111x",
+    ]
+    plain = [f"write to p{n}@site{n}.com or +1 (212) 555-{1000 + n} from 10.0.{n}.7 with 4111111111111111" for n in range(60)]
+    rows = list(enumerate(wanted)) + list(enumerate(decoys, 100)) + list(enumerate(plain, 200))
+    found = {r["doc_id"]: [s for s in r["spans"] if not s["base"]] for r in pii.personal_data(spark.createDataFrame(rows, COLUMNS)).collect()}
+    texts = dict(rows)
+    added = {doc: [texts[doc][s["start"] : s["end"]] for s in spans] for doc, spans in found.items() if spans}
+    assert added == {
+        0: ["joe.doe [at] mail [dot] example.org"], 1: ["01 42 68 53 00"], 2: ["(212) 555-0147"], 3: ["4111 1111 1111 1111"],
+        4: ["4111.1111.1111.1111"], 5: ["2001:db8:0:1:2:3:4:5"], 6: ["5500/0000/0000/0004"], 7: ["fe80::1ff:fe23:4567:890a"],
+        8: ["0171/5551234"],
+    }
+
+
 def test_votes_are_weighed_by_their_reliability():
     def row(votes, count):
         return {"kind": "card", "count": count, **dict(zip(pii.LABELERS, votes))}
