@@ -5,11 +5,12 @@ the hashed terms of its documents in order, and for each term the positions of i
 segments are written to the shared folder, so that searches for any number of benchmarks read
 the postings and not the texts.
 
-A search takes phrases in blocks of bounded size. In each segment it drops the phrases that have
-a term the segment lacks, takes the postings of each remaining phrase's rarest term, moves them
-back by the term's place in the phrase, and intersects them with the postings of the other terms
-at their places. What is left are the exact occurrences. With ``slack`` over 0 a term may stand up
-to that many words beside its place (proximity).
+A search deals the phrases into blocks of bounded size and takes one after the other: the driver
+sends a block to the executors, and its matches are written before the next one is read. In each
+segment a search drops the phrases that have a term the segment lacks, takes the postings of each
+remaining phrase's rarest term, moves them back by the term's place in the phrase, and intersects
+them with the postings of the other terms at their places. What is left are the exact occurrences.
+With ``slack`` over 0 a term may stand up to that many words beside its place (proximity).
 
 Terms are hashes of 64 bits less those that number the words of a segment (44 bits are left of
 the default segment), so a wrong match needs a word that differs and yet has the same hash.
@@ -21,7 +22,7 @@ carried along; columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from lonja.llm.text import (
     word_bounds,
     word_hashes,
 )
-from lonja.runtime import stage
+from lonja.runtime import release, releases_staged, stage
 
 WINDOW = 13
 SEGMENT_BYTES = 4 << 20
@@ -78,7 +79,8 @@ def _index_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def build_index(docs: DataFrame) -> DataFrame:
     """The positional index of all texts, written to the shared folder: one row per segment."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stage(texts.mapInArrow(_index_segments, _SEGMENT), "positional-index")
+    segments = texts.mapInArrow(_index_segments, _SEGMENT)
+    return stage(segments.withColumn("segment", F.monotonically_increasing_id()), "positional-index")
 
 
 def phrase_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -109,30 +111,56 @@ def phrase_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 class _Phrases:
     """A block of phrases, as padded rows of hashed terms."""
 
-    def __init__(self, items: list[int | None], phrases: list[list[int]]):
-        self.items = items
-        self.lengths = np.array([len(p) for p in phrases], dtype=np.int64)
+    def __init__(self, block: pa.Table):
+        self.items = block["item_id"].to_pylist()
+        terms = block["terms"].combine_chunks()
+        self.lengths = terms.value_lengths().to_numpy().astype(np.int64)
         longest = int(self.lengths.max())
-        flat = np.fromiter((t for p in phrases for t in p), np.int64, self.lengths.sum())
-        self.distinct, which = np.unique(flat.view(np.uint64), return_inverse=True)
-        self.terms = np.full((len(phrases), longest), -1, dtype=np.int64)
+        flat = terms.flatten().to_numpy().view(np.uint64)
+        self.distinct, which = np.unique(flat, return_inverse=True)
+        self.terms = np.full((len(self.items), longest), -1, dtype=np.int64)
         self.terms[np.arange(longest) < self.lengths[:, None]] = which
 
 
-def _blocks(phrases: DataFrame) -> Iterator[_Phrases]:
-    """The phrases in blocks of bounded size, one after the other."""
-    items: list = []
-    held: list = []
-    words = 0
-    for row in phrases.toLocalIterator():
-        items.append(row["item_id"])
-        held.append(row["terms"])
-        words += len(row["terms"])
-        if words >= PHRASE_BLOCK:
-            yield _Phrases(items, held)
-            items, held, words = [], [], 0
-    if held:
-        yield _Phrases(items, held)
+def _deal(phrases: DataFrame) -> tuple[DataFrame, int]:
+    """The phrases that have terms, staged by number of ``block``, and how many blocks there are.
+
+    A phrase's hash decides its block, so blocks have ``PHRASE_BLOCK`` words, give or take the
+    chance of the hash.
+    """
+    held = stage(phrases.select("item_id", "terms").where(F.size("terms") > 0), "phrases")
+    words = held.agg(F.sum(F.size("terms"))).first()[0] or 0
+    blocks = max(1, -(-words // PHRASE_BLOCK))
+    block = F.pmod(F.xxhash64("item_id", "terms"), F.lit(blocks)).cast("int")
+    # in order of the blocks, so that reading one skips the others' row groups
+    numbered = held.withColumn("block", block).repartitionByRange("block").sortWithinPartitions("block")
+    dealt = stage(numbered, "phrase-blocks")
+    release(held)
+    return dealt, blocks
+
+
+def _search_blocks(index: DataFrame, phrases: DataFrame, search: Callable, schema: str) -> DataFrame:
+    """The rows of ``search(block, batches)`` over the index, for each block of the phrases.
+
+    A block's rows are written before the next block is read, so that the driver and the executors
+    hold one block at a time.
+    """
+    spark = index.sparkSession
+    found = spark.createDataFrame([], schema)
+    dealt, blocks = _deal(phrases)
+    for number in range(blocks):
+        block = dealt.where(F.col("block") == number).select("item_id", "terms").toArrow()
+        if not block.num_rows:
+            continue
+        held = spark.sparkContext.broadcast(_Phrases(block))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            return search(held.value, batches)
+
+        found = found.union(stage(index.mapInArrow(run, schema), "matches"))
+        held.destroy()
+    release(dealt)
+    return found
 
 
 class _Segment:
@@ -201,91 +229,98 @@ _MATCHES = "doc_id bigint, item_id bigint, first_word bigint, n_words bigint, ex
 def phrase_matches(index: DataFrame, phrases: DataFrame, slack: int = 0) -> DataFrame:
     """Where each phrase (``item_id``, ``terms``) occurs in the indexed documents.
 
-    One row per match; ``exact`` tells a phrase from words that only stand near their places.
+    One row per match; ``exact`` tells a phrase from words that only stand near their places. A
+    phrase without terms has no matches.
     """
-    spark, found = index.sparkSession, None
-    for block in _blocks(phrases):
-        held = spark.sparkContext.broadcast(block)
-
-        def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            block = held.value
-            for batch in batches:
-                for row in range(batch.num_rows):
-                    segment = _Segment(batch.slice(row, 1).to_pylist()[0])
-                    which, begin, exact = segment.search(block, slack)
-                    text = np.searchsorted(segment.starts, begin, side="right") - 1
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([segment.doc_ids[t] for t in text], pa.int64()),
-                            pa.array([block.items[w] for w in which], pa.int64()),
-                            pa.array(begin - segment.starts[text]),
-                            pa.array(block.lengths[which]),
-                            pa.array(exact),
-                        ],
-                        names=["doc_id", "item_id", "first_word", "n_words", "exact"],
-                    )
-
-        part = index.mapInArrow(search, _MATCHES)
-        found = part if found is None else found.union(part)
-    return spark.createDataFrame([], _MATCHES) if found is None else found
-
-
-_HITS = "segment bigint, place int, doc_id bigint, n_words bigint, hits array<bigint>, items array<bigint>"
-
-
-def _document_hits(batches: Iterator[pa.RecordBatch], block: _Phrases | None) -> Iterator[pa.RecordBatch]:
+
+    def search(block: _Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                segment = _Segment(batch.slice(row, 1).to_pylist()[0])
+                which, begin, exact = segment.search(block, slack)
+                text = np.searchsorted(segment.starts, begin, side="right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([segment.doc_ids[t] for t in text], pa.int64()),
+                        pa.array([block.items[w] for w in which], pa.int64()),
+                        pa.array(begin - segment.starts[text]),
+                        pa.array(block.lengths[which]),
+                        pa.array(exact),
+                    ],
+                    names=["doc_id", "item_id", "first_word", "n_words", "exact"],
+                )
+
+    return _search_blocks(index, phrases, search, _MATCHES)
+
+
+_HITS = "segment bigint, place int, hits array<bigint>, items array<bigint>"
+
+
+def _document_hits(block: _Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words hit in each document that has some, and the items that hit them."""
     for batch in batches:
         for row in range(batch.num_rows):
             values = batch.slice(row, 1).to_pylist()[0]
             segment = _Segment(values)
-            hits: list[list] = [[] for _ in segment.doc_ids]
-            items: list[list] = [[] for _ in segment.doc_ids]
-            if block is not None:
-                which, begin, _ = segment.search(block, 0)
-                text = np.searchsorted(segment.starts, begin, side="right") - 1
-                for t in np.unique(text):
-                    mine = text == t
-                    words = np.unique(ragged(begin[mine], block.lengths[which[mine]]))
-                    hits[t] = (words - segment.starts[t]).tolist()
-                    items[t] = sorted({block.items[w] for w in which[mine]} - {None})
+            which, begin, _ = segment.search(block, 0)
+            text = np.searchsorted(segment.starts, begin, side="right") - 1
+            hit = np.unique(text)
+            hits, items = [], []
+            for t in hit:
+                mine = text == t
+                words = np.unique(ragged(begin[mine], block.lengths[which[mine]]))
+                hits.append((words - segment.starts[t]).tolist())
+                items.append(sorted({block.items[w] for w in which[mine]} - {None}))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([values["segment"]] * len(hits), pa.int64()),
-                    pa.array(np.arange(len(hits), dtype=np.int32)),
-                    pa.array(segment.doc_ids, pa.int64()),
-                    pa.array(np.diff(segment.starts)),
+                    pa.array([values["segment"]] * len(hit), pa.int64()),
+                    pa.array(hit.astype(np.int32)),
                     pa.array(hits, pa.list_(pa.int64())),
                     pa.array(items, pa.list_(pa.int64())),
                 ],
-                names=["segment", "place", "doc_id", "n_words", "hits", "items"],
+                names=["segment", "place", "hits", "items"],
             )
 
 
+_DOCUMENTS = "segment bigint, place int, doc_id bigint, n_words bigint"
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for values in batch.to_pylist():
+            n_words = np.diff(np.frombuffer(values["starts"], np.uint32).astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([values["segment"]] * len(n_words), pa.int64()),
+                    pa.array(np.arange(len(n_words), dtype=np.int32)),
+                    pa.array(values["doc_ids"], pa.int64()),
+                    pa.array(n_words),
+                ],
+                names=["segment", "place", "doc_id", "n_words"],
+            )
+
+
+@releases_staged
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: ``n_words``, ``n_hit`` words inside occurrences of a window, and ``item_ids``.
 
     A document is ``contaminated`` when at least one word in twenty is hit.
     """
-    index = build_index(docs).withColumn("segment", F.monotonically_increasing_id())
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(phrase_windows(items, window))]
-    parts = [
-        index.mapInArrow(lambda batches, held=held: _document_hits(batches, held and held.value), _HITS)
-        for held in blocks or [None]
-    ]
-    found = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
-            found = found.union(part)
-        found = found.groupBy("segment", "place", "doc_id", "n_words").agg(
+    index = build_index(docs)
+    found = (
+        _search_blocks(index, phrase_windows(items, window), _document_hits, _HITS)
+        .groupBy("segment", "place")
+        .agg(
             F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         )
-    n_hit = F.size("hits").cast("long")
-    return found.select(
+    )
+    listed = index.select("segment", "doc_ids", "starts").mapInArrow(_documents, _DOCUMENTS)
+    n_hit = F.coalesce(F.array_size("hits"), F.lit(0)).cast("long")
+    return listed.join(found, ["segment", "place"], "left").select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
-        F.col("items").alias("item_ids"),
+        F.coalesce("items", F.array().cast("array<bigint>")).alias("item_ids"),
         ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
     )

@@ -224,6 +224,8 @@ def test_decontamination(spark, monkeypatch):
     near = decontamination.phrase_matches(index, phrase, slack=1).collect()
     assert sorted((r["doc_id"], r["exact"]) for r in near) == [(1, False), (2, True)]
     assert decontamination.contamination(empty(spark), items).count() == 0
+    nothing = decontamination.contamination(spark.createDataFrame([*docs, *ODD], COLUMNS), items.where("item_id = 0"))
+    assert {(r["n_hit"], tuple(r["item_ids"]), r["contaminated"]) for r in nothing.collect()} == {(0, (), False)}
 
 
 def test_bpe(spark):
