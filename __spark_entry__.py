@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import oracle_queries  # noqa: E402
 from lonja.functions.calendar import month_rank  # noqa: E402
 from lonja.operators import filters  # noqa: E402
-from lonja.operators.filters import OpsFilter  # noqa: E402
+from lonja.operators.filters import OpsFilter, apply_filter  # noqa: E402
 from lonja.plans import client, graph, network, operations, performance, risk, strategy  # noqa: E402
 from lonja.runtime import staging_root  # noqa: E402
 from lonja.schema import OPERATIONS_SCHEMA, SOURCE_COLUMNS  # noqa: E402
@@ -136,11 +136,13 @@ def _client_queries() -> dict[str, _Query]:
             client.client_stats, *_MONEY, "registered_on", "principal", "buyer_id", "seller_id"
         ),
         "q37_market_comparison": _Query(
-            lambda o, f: client.market_comparison(o, _first_client(o), f),
+            lambda o, f: client.market_comparison(o, _first_client(apply_filter(o, f)), f),
             ("client_id", "product", *_MONEY),
         ),
         "q37_market_comparison_own": _Query(
-            lambda o, f: client.market_comparison(o, _first_client(o), f, own_transactions=True),
+            lambda o, f: client.market_comparison(
+                o, _first_client(apply_filter(o, f)), f, own_transactions=True
+            ),
             ("client_id", "product", *_MONEY),
         ),
         "q38_client_trend": of_first(client.client_trend, *_MONEY, "month_name"),
@@ -219,6 +221,10 @@ def _catalogue() -> dict[str, _Query]:
         "q10_cross_sell_all_pairs": _Query(
             lambda o, f: strategy.cross_sell(o, f, n=None), bought
         ),
+        # few leading products and small tiles, so that the rest is counted too, and across tiles
+        "q10_cross_sell_tiles": _Query(
+            lambda o, f: strategy.cross_sell(o, f, n=40, leading=16, tile_items=8), bought
+        ),
         "q11_client_segments": _Query(strategy.client_segments, segments),
         "q12_vip_share": _Query(strategy.vip_share, segments),
         "q13_seller_hubs": _Query(network.seller_hubs, ("seller_name", "buyer_id", *_MONEY)),

@@ -13,15 +13,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Executors receive this module's code with the task, so they need not have it installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TILE_ITEMS = 2048
-# Above this many tiles a holder is sent only to the tiles it has items in.
-TILES_FOR_ALL = 16
 
 # A holder with more items of two tiles than this is multiplied as a matrix row.
 MATRIX_ITEMS = 256
@@ -167,16 +165,14 @@ def shared_holders(
         )
         .scalar()
     )
-    if tiles <= TILES_FOR_ALL:
-        others: Column = F.sequence(F.lit(0), F.lit(tiles - 1))
-    else:
-        present = placed.groupBy("holder").agg(F.collect_set("tile").alias("present"))
-        placed, others = placed.join(present, "holder"), F.col("present")
+    # a holder is sent only to the tiles that it has items in
+    present = placed.groupBy("holder").agg(F.collect_set("tile").alias("present"))
     mine, other = F.col("tile"), F.col("other")
     share = (weights["rows"][mine] + weights["rows"][other]) / (weights["total"] * tiles)
     parts = F.greatest(F.ceil(share * tasks), F.lit(1)).cast("int")
     baskets = (
-        placed.withColumn("other", F.explode(others))
+        placed.join(present, "holder")
+        .withColumn("other", F.explode("present"))
         .select(
             F.least(mine, other).alias("left"),
             F.greatest(mine, other).alias("right"),

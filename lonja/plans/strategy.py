@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from lonja.functions import measures as m
 from lonja.functions.calendar import valid_date
 from lonja.labels import ENGLISH, Labels
-from lonja.operators.cooccurrence import shared_holders
+from lonja.operators.cooccurrence import TILE_ITEMS, shared_holders
 from lonja.operators.filters import OpsFilter, apply_filter
 from lonja.operators.quantiles import percentiles
-from lonja.runtime import stage
+from lonja.runtime import releases_staged, stage
 
 # Products whose pairs are counted first, to learn how many buyers a listed pair must share.
 LEADING_PRODUCTS = 64
@@ -73,15 +73,22 @@ def churn_at_risk(
     )
 
 
+@releases_staged
 def cross_sell(
-    ops: DataFrame, f: OpsFilter | None = None, *, min_shared: int = 3, n: int | None = 10
+    ops: DataFrame,
+    f: OpsFilter | None = None,
+    *,
+    min_shared: int = 3,
+    n: int | None = 10,
+    leading: int = LEADING_PRODUCTS,
+    tile_items: int = TILE_ITEMS,
 ) -> DataFrame:
     """Product pairs bought by the same buyers; ``n=None`` lists every pair.
 
-    A pair shares no more buyers than its rarer product has. Products with fewer than
-    ``min_shared`` buyers, or with fewer than the n-th best pair among the leading products,
-    can be in no listed pair and are left out before pairs are counted. Runs jobs to size
-    the count.
+    A pair shares no more buyers than its rarer product has. The pairs of the ``leading`` products
+    with most buyers are counted first. A product with fewer buyers than the n-th best of those
+    pairs shares can be in no listed pair, so only the products above that are counted together,
+    and nothing more is when all of them were leading ones. Runs jobs to size the counts.
     """
     bought = stage(
         apply_filter(ops, f)
@@ -96,17 +103,19 @@ def cross_sell(
         "products",
     )
 
-    chosen, count, least = products, products.count(), min_shared
-    if n is not None and count > LEADING_PRODUCTS:
-        leading = products.orderBy(F.desc("holders"), "item").limit(LEADING_PRODUCTS)
-        found = shared_holders(holdings, leading, LEADING_PRODUCTS, min_shared)
+    if n is None:
+        found = shared_holders(holdings, products, products.count(), min_shared, tile_items)
+    else:
+        first = products.orderBy(F.desc("holders"), "item").limit(leading)
+        found = stage(shared_holders(holdings, first, leading, min_shared, tile_items), "pairs")
         best = found.orderBy(F.desc("shared")).limit(n).agg(F.min("shared"), m.rows()).first()
-        if best[1] == n:
-            least = best[0]
-            chosen = products.where(F.col("holders") >= least)
-            count = chosen.count()
+        least = best[0] if best[1] == n else min_shared
+        chosen = products.where(F.col("holders") >= least)
+        count = chosen.count()
+        if count > leading:
+            found = shared_holders(holdings, chosen, count, least, tile_items)
     buyers = bought.agg(F.count_distinct("holder")).scalar()
-    pairs = shared_holders(holdings, chosen, count, least).select(
+    pairs = found.select(
         F.col("item_a").alias("product_a"),
         F.col("item_b").alias("product_b"),
         F.col("shared").alias("shared_buyers"),

@@ -54,8 +54,11 @@ def exact(x: str, window: str = "") -> str:
 + SUM(CAST({x} - TRUNC({x}) AS DECIMAL(28,12))) {window})"""
 
 
-def total(x: str) -> str:
-    return f"CAST({exact(x)} AS DOUBLE)"
+def total(x: str, window: str = "") -> str:
+    """That sum as a double, with what the rows have beyond twelve decimals."""
+    fraction = f"({x} - TRUNC({x}))"
+    return f"""(CAST({exact(x, window)} AS DOUBLE)
++ SUM({fraction} - CAST(CAST({fraction} AS DECIMAL(28,12)) AS DOUBLE)) {window})"""
 
 
 def mean(x: str) -> str:
@@ -230,13 +233,14 @@ OWN = f"client_id = {FIRST_CLIENT}"
 
 
 def market_comparison(extra: str) -> str:
+    """Of the first client that trades under the filter."""
     return f"""SELECT *, CASE WHEN client_rate < market_avg_rate THEN 'below_market'
 WHEN client_rate > market_avg_rate THEN 'above_market' ELSE 'at_market' END AS vs_market
 FROM (SELECT product, COUNT(*) AS client_transactions,
       {mean_rate(f"(CASE WHEN own THEN {RATIO} END)")} AS client_rate,
       {RATE} AS market_avg_rate,
       {total("CASE WHEN own THEN business_value ELSE 0 END")} AS client_volume {extra}
-      FROM (SELECT *, {OWN} AS own FROM f) GROUP BY product
+      FROM (SELECT *, client_id = (SELECT MIN(client_id) FROM f) AS own FROM f) GROUP BY product
       HAVING COUNT(CASE WHEN own THEN 1 END) > 0
       ORDER BY client_volume DESC NULLS LAST, product NULLS LAST LIMIT 10)"""
 
@@ -348,6 +352,7 @@ FROM ({REFERRERS})""",
 COALESCE({total("lifetime_commission")}, 0) AS commission_at_risk FROM ({CHURN})""",
     "q10_cross_sell": f"{CROSS_SELL} LIMIT 10",
     "q10_cross_sell_all_pairs": CROSS_SELL,
+    "q10_cross_sell_tiles": f"{CROSS_SELL} LIMIT 40",
     "q11_client_segments": SEGMENTS,
     "q12_vip_share": f"""SELECT vip AS vip_commission,
 CASE WHEN everyone > 0 THEN vip / everyone * 100 ELSE 0 END AS vip_percentage
@@ -415,9 +420,8 @@ FROM (SELECT {COMMISSION} AS c, {VALUE} AS v FROM ops WHERE {OWN})""",
     "q46_buyer_cities": cities("buyer_city"),
     "q47_seller_cities": cities("seller_city"),
     "q48_pareto": f"""SELECT client_name, commission,
-CAST({exact("commission", SO_FAR)} AS DOUBLE) AS cumulative_commission,
-CAST({exact("commission", SO_FAR)} AS DOUBLE)
-/ CAST({exact("commission", "OVER ()")} AS DOUBLE) * 100 AS cumulative_pct
+{total("commission", SO_FAR)} AS cumulative_commission,
+{total("commission", SO_FAR)} / {total("commission", "OVER ()")} * 100 AS cumulative_pct
 FROM ({LISTED})""",
     "q49_concentration": f"""SELECT k AS top_clients, share AS top_percentage,
 share > 80 AS high_risk

@@ -15,9 +15,9 @@ FOLDER = entry.SMOKE_DIR
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no driver tables here")
 
 SAMPLE = """s01_csv_round_trip s11_published_upsert s12_upsert_summary f03_list_months q01_overview
-q04_referrers_filtered q08_churn_risk q10_cross_sell q11_client_segments_filtered
+q04_referrers_filtered q08_churn_risk q10_cross_sell q10_cross_sell_tiles q11_client_segments_filtered
 q18_potential_buyers_filtered q22_priority_prospects q24_relationship_type
-q27_network_nodes_whole q32_bridge_node q37_market_comparison q43_by_weekday_filtered
+q27_network_nodes_whole q32_bridge_node q37_market_comparison_own_filtered q43_by_weekday_filtered
 q48_pareto q50_pricing_anomalies""".split()
 
 

@@ -54,6 +54,15 @@ def test_exact_sum_loses_nothing_over_many_rows(spark):
     assert total(1, odd) == odd
 
 
+def test_exact_sum_keeps_what_is_beyond_twelve_decimals(spark):
+    rates = spark.range(1_000_000).select(F.lit(3e-13).alias("x"), (F.col("id") * 0 + 0.25).alias("y"))
+    found = rates.agg(m.exact_sum(F.col("x")), m.exact_avg(F.col("x")), m.exact_sum(F.col("x") + F.col("y"))).first()
+    assert abs(found[0] - 3e-7) < 3e-17 and abs(found[1] - 3e-13) < 3e-23
+    assert found[2] == float(1_000_000 * Decimal(3e-13 + 0.25))
+    parts = rates.groupBy(F.spark_partition_id()).agg(*m.subtotal(F.col("x"), "x")).agg(m.sum_of_subtotals("x"))
+    assert abs(parts.first()[0] - 3e-7) < 3e-17
+
+
 def test_subtotals_add_up(spark):
     df = spark.range(1000).select((F.col("id") * 1.37).alias("x"), (F.col("id") % 7).alias("g"))
     whole = df.agg(m.exact_sum(F.col("x"))).first()[0]

@@ -66,9 +66,9 @@ def test_churn_starts_after_the_limit(make_ops):
     ]
 
 
-@pytest.mark.parametrize("leading", [2, 64])
-def test_cross_sell(make_ops, monkeypatch, leading):
-    monkeypatch.setattr(strategy, "LEADING_PRODUCTS", leading)
+@pytest.mark.parametrize("leading, tile_items", [(2, 2), (3, 1), (64, 2048)])
+def test_cross_sell(make_ops, leading, tile_items):
+    sizes = {"leading": leading, "tile_items": tile_items}
     baskets = {"b1": "xyzw", "b2": "xyzw", "b3": "xyz", "b4": "yx", "b5": "q"}
     ops = make_ops(
         *[{"buyer_id": b, "product": p} for b, items in baskets.items() for p in items * 2],
@@ -76,12 +76,12 @@ def test_cross_sell(make_ops, monkeypatch, leading):
     )
     pairs = [
         (r["product_a"], r["product_b"], r["shared_buyers"], r["market_penetration"])
-        for r in rows(strategy.cross_sell(ops))
+        for r in rows(strategy.cross_sell(ops, **sizes))
     ]
     expected = [("x", "y", 4, 66.67), ("x", "z", 3, 50.0), ("y", "z", 3, 50.0)]
     assert pairs == expected
-    assert [r["product_b"] for r in rows(strategy.cross_sell(ops, n=1))] == ["y"]
-    assert len(rows(strategy.cross_sell(ops, min_shared=2, n=None))) == 6
+    assert [r["product_b"] for r in rows(strategy.cross_sell(ops, n=1, **sizes))] == ["y"]
+    assert len(rows(strategy.cross_sell(ops, min_shared=2, n=None, **sizes))) == 6
 
 
 def test_segments(make_ops):
