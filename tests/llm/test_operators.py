@@ -408,3 +408,18 @@ def test_digests_are_of_real_texts(spark, tmp_path):
     spark.createDataFrame(rows, f"{COLUMNS}, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     row = {r["doc_id"]: r for r in queries.op10_pii(spark, str(tmp_path)).collect()}[1]
     assert row["base_sha256"] == hashlib.sha256(b"email:4:10").hexdigest() and row["n_email"] == 1
+
+
+def test_pii_counts_are_of_base_spans(spark, tmp_path):
+    """Spans that the method adds are in ``spans`` but not in the counts."""
+    texts = ["tel 01 42 68 53 00 ok", "call (212) 555-0147 ok", "card 4111.1111.1111.1111 ok", "server 2001:db8:0:1:2:3:4:5 ok"]
+    texts += [f"write to p{n}@site{n}.com or +1 (212) 555-{1000 + n} from 10.0.{n}.7 with 4111111111111111" for n in range(60)]
+    rows = [(n, t, "en", "s", len(t)) for n, t in enumerate(texts)]
+    spark.createDataFrame(rows, f"{COLUMNS}, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in queries.op10_pii(spark, str(tmp_path)).collect()}
+    assert any(r["spans"] for n, r in found.items() if n < 4)
+    for n, text in enumerate(texts):
+        base = base_spans(text)
+        assert found[n]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        for kind in pii.KINDS:
+            assert found[n][f"n_{kind}"] == sum(s.split(":")[0] == kind for s in base.split(",") if s)
