@@ -423,3 +423,23 @@ def test_pii_counts_are_of_base_spans(spark, tmp_path):
         assert found[n]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
         for kind in pii.KINDS:
             assert found[n][f"n_{kind}"] == sum(s.split(":")[0] == kind for s in base.split(",") if s)
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Rows beyond any sample teach the model: here the toxic word is only in the last labelled rows."""
+    draw = random.Random(8)
+    words = [f"w{n}" for n in range(200)]
+    rows = []
+    for n in range(4000):
+        text = draw.choices(words, k=20)
+        if n % 4 == 0:
+            text[draw.randrange(20)] = "vile" if n < 400 else "rotten"
+        rows.append((n, " ".join(text), int(n % 4 == 0)))
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows] + ODD, COLUMNS)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(500, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels)
+    assert len(model.features) > 200 and "rotten" not in words
+    found = {r["doc_id"]: r["s"] for r in df.select("doc_id", toxicity.score(df, model).alias("s")).collect()}
+    right = sum((found[i] >= 0.5) == bool(y) for i, _, y in rows[3000:])
+    assert right >= 950 and found[90] == found[91] < 0.5
+    assert toxicity.fit(df, labels.where("toxic = 0")) is None
