@@ -2,6 +2,7 @@ import csv
 import datetime as dt
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lonja.runtime import drop_staged, release, releases_staged, stage
 from lonja.schema import OPERATIONS_SCHEMA
-from lonja.sources import records, store
+from lonja.sources import driver_tables, records, store
 from lonja.sources.csv_files import (
     coerce_dates,
     detect_format,
@@ -470,3 +471,144 @@ def test_an_operator_that_fails_leaves_no_staged_table(spark):
     assert staged_names(spark) == ["kept"]
     release(kept)
     assert staged_names(spark) == []
+
+
+def shuffled_files(spark):
+    """The names of shuffle files on the executors' disks; here there is one executor."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    found = set()
+    for top in manager.localDirsString():
+        for _, _, names in os.walk(top):
+            found |= {name for name in names if name.startswith("shuffle_") and name.endswith(".data")}
+    return found
+
+
+def left_behind(spark, before):
+    """Shuffle files that are new, after the cleaner had some time."""
+    for _ in range(50):
+        if not shuffled_files(spark) - before:
+            break
+        time.sleep(0.1)
+    return shuffled_files(spark) - before
+
+
+def test_writing_a_table_leaves_no_shuffle_files(spark, make_ops, tmp_path):
+    ops = make_ops(*[{"operation_id": f"id{n}"} for n in range(40)]).repartition("operation_id")
+    before = shuffled_files(spark)
+    table = store.create_operations(ops, str(tmp_path / "table"), ["year"], buckets=4)
+    assert not left_behind(spark, before)
+    store.publish(upsert(table.rows(), upload(spark, ("id1", "1", "x"))), table)
+    assert not left_behind(spark, before)
+    store.save_snapshot(ops, str(tmp_path / "snapshot"))
+    assert not left_behind(spark, before)
+
+
+@pytest.fixture
+def small_rounds(monkeypatch):
+    monkeypatch.setattr(store, "ROUND_BYTES", 2000)
+
+
+def test_large_tables_are_written_in_rounds_of_buckets(spark, make_ops, tmp_path, small_rounds, monkeypatch):
+    rows = [{"operation_id": f"id{n % 90}", "year": 2024 + n % 2, "buyer_name": f"b{n}"} for n in range(300)]
+    ops = make_ops(*rows, *[{"operation_id": None, "year": None}] * 3)
+    drop_staged(spark)
+    table = store.create_operations(ops, str(tmp_path / "table"), ["year"], buckets=16)
+    assert 1 < table.rounds(4001) <= table.rounds(10**9) == store.ROUNDS
+    assert sorted(map(repr, table.rows().collect())) == sorted(map(repr, ops.collect()))
+    hashed = {r.bucket for r in ops.select(table.bucket().alias("bucket")).distinct().collect()}
+    assert set(table.parts) == hashed and store.NO_KEY in hashed
+    for bucket in hashed:
+        assert {r.bucket for r in table.rows([bucket]).select(table.bucket().alias("bucket")).collect()} == {bucket}
+
+    written = []
+    write = store.StoredTable.write
+    monkeypatch.setattr(store.StoredTable, "write", lambda self, rows: written.append(1) or write(self, rows))
+    batch = upload(spark, *[(f"id{n}", str(n), "x") for n in range(60, 120)], ("id60", "7", "x"), (None, "3", "x"))
+    following = upsert_table(table, batch)
+    assert len(written) > 1
+    assert keyed(following.rows()) == keyed(upsert(table.rows(), batch))
+    assert keyed(store.publish(upsert(table.rows(), batch), store.open_table(spark, table.folder)).rows()) == keyed(
+        following.rows()
+    )
+    assert staged_names(spark) == []
+
+
+def test_a_round_that_fails_takes_the_earlier_rounds_along(spark, make_ops, tmp_path, small_rounds, monkeypatch):
+    rows = [{"operation_id": f"id{n}", "buyer_name": f"b{n * 7919}"} for n in range(300)]
+    table = store.create_operations(make_ops(*rows), str(tmp_path / "table"), buckets=16)
+    before = sorted(os.listdir(f"{table.folder}/data"))
+    write, calls = store.StoredTable.write, []
+
+    def fails_later(self, rows):
+        calls.append(1)
+        if len(calls) > 1:
+            raise RuntimeError("disk full")
+        return write(self, rows)
+
+    monkeypatch.setattr(store.StoredTable, "write", fails_later)
+    with pytest.raises(RuntimeError, match="disk full"):
+        upsert_table(table, upload(spark, *[(f"id{n}", "1", "x") for n in range(300)]))
+    assert len(calls) == 2 and sorted(os.listdir(f"{table.folder}/data")) == before
+    assert keyed(store.read_table(spark, table.folder)) == keyed(table.rows())
+
+
+@pytest.fixture
+def star(spark, tmp_path):
+    """A small star schema; a line, an order and a part come twice, and keys are null or unknown."""
+    tables = {
+        "nation": ("n_nationkey long, n_name string", [(n, f"N{n}") for n in range(3)]),
+        "customer": ("c_custkey long, c_name string, c_nationkey long", [(n, f"c{n}", n % 4) for n in range(9)]),
+        "supplier": ("s_suppkey long, s_name string, s_nationkey long", [(n, f"s{n}", n % 3) for n in range(5)]),
+        "part": ("p_partkey long, p_name string", [(n % 6, f"p{n}") for n in range(7)]),
+        "orders": (
+            "o_orderkey long, o_custkey long, o_orderdate date",
+            [(n % 20, n % 10, dt.date(2025, 1 + n % 12, 2)) for n in range(21)],
+        ),
+        "lineitem": (
+            "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, "
+            "l_discount double, l_tax double, l_returnflag string, l_linestatus string",
+            [
+                (n % 21, n % 6, n % 5 if n % 13 else None, n % 4, n * 1.5, 0.05, 0.02, "NRA"[n % 3], "OF"[n % 2])
+                for n in [*range(80), 3]
+            ],
+        ),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+def test_small_dimensions_are_broadcast_to_the_facts(spark, star):
+    size = max(
+        os.path.getsize(os.path.join(top, name)) for top, _, names in os.walk(star) for name in names
+        if "lineitem" not in top
+    )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(8 * size))
+    try:
+        ops = driver_tables.operations(spark, star, ("operation_id", "seller_name", "seller_city"))
+        plan = ops._jdf.queryExecution().executedPlan().toString()
+        # the supplier with its nation, joined first, has no known size
+        assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_operations_of_repeated_null_and_unknown_keys(spark, star):
+    def table(name):
+        return [r.asDict() for r in spark.read.parquet(f"{star}/{name}.parquet").collect()]
+
+    expected = [
+        (line["l_extendedprice"] * 1000, c["c_name"], bn["n_name"], s["s_name"], sn["n_name"], p["p_name"])
+        for line in table("lineitem")
+        for s in table("supplier") if s["s_suppkey"] == line["l_suppkey"]
+        for sn in table("nation") if sn["n_nationkey"] == s["s_nationkey"]
+        for p in table("part") if p["p_partkey"] == line["l_partkey"]
+        for o in table("orders") if o["o_orderkey"] == line["l_orderkey"]
+        for c in table("customer") if c["c_custkey"] == o["o_custkey"]
+        for bn in table("nation") if bn["n_nationkey"] == c["c_nationkey"]
+    ]
+    columns = ("business_value", "buyer_name", "buyer_city", "seller_name", "seller_city", "product")
+    found = [tuple(r) for r in driver_tables.operations(spark, star, columns).collect()]
+    assert sorted(found) == sorted(expected) and len(set(found)) < len(found)
+    assert driver_tables.operations(spark, star).count() == len(expected)
