@@ -10,6 +10,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as entry  # noqa: E402
 from check_oracle import compare, open_duck  # noqa: E402
+from lonja.runtime import drop_staged  # noqa: E402
 
 FOLDER = entry.SMOKE_DIR
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no driver tables here")
@@ -50,3 +51,27 @@ def test_stored_table_gives_the_same_rows(spark, duck):
         assert compare(spark, duck, query, sql, FOLDER) is None
     finally:
         entry._stored.clear()
+
+
+@pytest.mark.parametrize("name", ["s10_upsert", "q20_prospect_opportunity", "q22_priority_prospects_filtered"])
+def test_operations_that_are_read_often_are_derived_once(spark, name):
+    plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_orderkey" not in plan
+
+
+def test_the_batch_of_an_upload_reads_the_table_once(spark, make_ops):
+    kinds = ["REX", "RSG", "RGC", None]
+    ops = make_ops(*[{"operation_id": f"id{n}", "operation_type": kinds[n % 4]} for n in range(8)])
+    batch = entry._batch(ops)
+    assert sorted(r.operation_id for r in batch.collect()) == ["N-id1", "N-id5", "id0", "id4"]
+    assert "Union" not in batch._jdf.queryExecution().optimizedPlan().toString()
+    null = entry._batch(make_ops({"operation_id": None, "operation_type": "RSG"}))
+    assert [r.operation_id for r in null.collect()] == [None]
+
+
+def test_an_export_leaves_no_staged_operations(spark, tmp_path):
+    drop_staged(spark)
+    for name in ("s14_template", "s01_csv_round_trip"):
+        entry.queries()[name](spark, FOLDER)
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/lonja-{spark.sparkContext.applicationId}"
+    assert sorted(n.split("-")[0] for n in os.listdir(folder)) == ["export", "filled", "template"]
